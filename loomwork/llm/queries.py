@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import counting, packing, simhash, tokenfile
-from loomwork.llm.common import documents
+from loomwork.llm import counting, decontamination, langid, packing, simhash, tokenfile
+from loomwork.llm.common import crc_of_id, documents
 from loomwork.registry import Registry
 
 registry = Registry()
@@ -41,3 +41,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(documents(spark, sf_dir), words=4, radius=4)
     return got.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@registry.query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = crc_of_id("doc_id") % 5
+    model = langid.train(docs, fold != 0)
+    got = langid.predict(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@registry.query()
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
