@@ -7,6 +7,8 @@ characters on which regular expression engines may disagree go to the library wh
 from __future__ import annotations
 
 import os
+from array import array
+from operator import attrgetter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -14,8 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts made of these only are split here: ASCII, Latin letters and the punctuation of European languages.
 UNSURE = r"[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞]"
-#: Pre-tokens kept by each of the two generations of a worker's cache.
-CACHE = 150_000
+#: Pieces and pre-tokens that a worker keeps; a full cache starts anew.
+CACHE = 400_000
 LONGEST_KEPT = 64
 
 
@@ -25,53 +27,72 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_id = attrgetter("id")
+_MARKS = frozenset(".,;:!?")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character for each byte in a byte-level vocabulary: printable Latin-1 as it is, the others from 256 on in their order."""
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + k) for k, b in enumerate(odd)}
+
+
+class Kept(dict):
+    """Values of `make`, remembered."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Ids as bytes: unsigned 32-bit little-endian."""
 
     def __init__(self, path: str):
-        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
-        self.np, self.path = np, path
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings inside a text are ordinary text
         self.split = regex.compile(PRETOKEN).findall
         self.unsure = regex.compile(UNSURE).search
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of these pre-tokens; what is used stays in the younger generation."""
-        np, old, out, miss = self.np, self.old, {}, []
-        for w in words:
-            v = old.get(w)
-            if v is None:
-                miss.append(w)
-            else:
-                out[w] = v
-        if miss:
-            for w, e in zip(miss, self.tok.encode_batch_fast(miss, add_special_tokens=False), strict=True):
-                out[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        if len(self.young) + len(out) > CACHE:
-            self.old, self.young = self.young, {}
-        self.young.update((w, v) for w, v in out.items() if len(w) <= LONGEST_KEPT)
-        return out
+        self.merge, self.char = self.tok.model.tokenize, byte_characters()
+        self.pre = Kept(self._merged)
+        self.after_blank = Kept(self._after_blank)
+
+    def _merged(self, pretoken: str) -> bytes:
+        return array("I", map(_id, self.merge(pretoken.encode().decode("latin-1").translate(self.char)))).tobytes()
+
+    def _after_blank(self, word: str) -> bytes:
+        """The ids of a blank and what follows it."""
+        if word.isalpha():
+            return self._merged(" " + word)
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return self.after_blank[word[:-1]] + self.pre[word[-1]]
+        return b"".join(map(self.pre.__getitem__, self.split(" " + word)))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.unsure(text):
-            return self.np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(self.each(self.split(text)))
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        if "  " in text:
+            return b"".join(self.each(self.split(text)))
+        # every blank stands alone and so starts a pre-token: what lies between two blanks has ids of its own
+        head, *words = text.split(" ")
+        return b"".join(self.each(self.split(head))) + b"".join(map(self.after_blank.__getitem__, words))
 
     def each(self, words: list[str]) -> list[bytes]:
         """The ids of each pre-token."""
-        got = list(map(self.young.get, words))
-        if None in got:
-            new = self._learn({w for w, v in zip(words, got, strict=True) if v is None})
-            got = [new[w] if v is None else v for w, v in zip(words, got, strict=True)]
-        return got
+        return list(map(self.pre.__getitem__, words))
 
 
 _kept: dict[str, Encoder] = {}
