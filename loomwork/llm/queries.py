@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import counting, decontamination, langid, packing, simhash, tokenfile
+from loomwork.llm import counting, decontamination, langid, packing, pii, simhash, tokenfile
 from loomwork.llm.common import crc_of_id, documents
 from loomwork.registry import Registry
 
@@ -55,3 +55,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query()
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@registry.query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    n = {f"n_{k}": of(i) for i, k in enumerate(pii.KINDS[:4])}
+    return got.select("doc_id", *(c.alias(k) for k, c in n.items()), F.sha2(pii.spell("base").cast("binary"), 256).alias("base_sha256"), pii.spell("spans").alias("spans"))
