@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import counting, decontamination, langid, packing, pii, simhash, tokenfile
+from loomwork.llm import ann, chat, counting, decontamination, langid, packing, pii, simhash, tokenfile
 from loomwork.llm.common import crc_of_id, documents
 from loomwork.registry import Registry
+from loomwork.session import ship
 
 registry = Registry()
 
@@ -63,3 +64,24 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     n = {f"n_{k}": of(i) for i, k in enumerate(pii.KINDS[:4])}
     return got.select("doc_id", *(c.alias(k) for k, c in n.items()), F.sha2(pii.spell("base").cast("binary"), 256).alias("base_sha256"), pii.spell("spans").alias("spans"))
+
+
+@registry.query()
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    rows = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    got = chat.conversations(chat.chain(rows)).select(F.col("tree").alias("conv_id"), "formatted", "mask").withColumn("turns", chat.read_back(F.col("formatted")))
+    # the mask's spans are as long as the assistants' turns, in order: what is under it are these turns' texts
+    masked = F.transform("mask", lambda x: x["stop"] - x["start"])
+    learnt = F.filter("turns", lambda x: x["role"] == chat.ASSISTANT)
+    loss = F.array_join(F.transform(learnt, lambda x: x["text"]), "")
+    got = got.withColumns({"loss": F.when(masked == F.transform(learnt, lambda x: x["chars"]), loss), "all": F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")})
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return got.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha("all").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha("loss").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@registry.query()
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.neighbours(rows, lambda i: i % 20 == 0, k=20)
