@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import ann, chat, counting, decontamination, langid, packing, pii, simhash, tokenfile
+from loomwork.llm import ann, chat, counting, decontamination, langid, packing, pii, pitman_yor, simhash, tokenfile
 from loomwork.llm.common import crc_of_id, documents
 from loomwork.registry import Registry
 from loomwork.session import ship
@@ -85,3 +85,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.neighbours(rows, lambda i: i % 20 == 0, k=20)
+
+
+@registry.query()
+def op5_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir), crc_of_id("doc_id") % 10 == 0)
