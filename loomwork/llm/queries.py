@@ -90,3 +90,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query()
 def op5_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(documents(spark, sf_dir), crc_of_id("doc_id") % 10 == 0)
+
+
+@registry.query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(ship(spark), sf_dir)

@@ -26,16 +26,18 @@ from loomwork.llm.graph import components
 BITS = 64
 #: A candidate pair's cost beside that of a row sent out.
 PAIR_COST = 0.1
-#: Partitions' thresholds sum to this at most: a fingerprint then has some hundred probes.
-MOST_ABOVE = 3
+#: Partitions' thresholds sum to this at most, and a fingerprint has so many probes.
+MOST_ABOVE = 6
+MOST_PROBES = 700
 #: Runs up to this length compare all their pairs at once; longer ones are walked.
 SHORT = 24
 #: Runs longer than this are dealt over further blocks of bits first.
 LONG = 20_000
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (64 bits in a long): bit b is set if over half of the shingles' XXH64 have it set."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", also: str = "") -> DataFrame:
+    """doc_id, fp (64 bits in a long): bit b is set if over half of the shingles' XXH64 have it set. also: further columns "name type, .."."""
+    more = [x.split()[0] for x in also.split(", ")] if also else []
 
     def run(batches):
         import numpy as np
@@ -66,9 +68,9 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             fp = np.array([of(x.as_py() or b"") for x in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(b.column(2 + k) for k in range(len(more)))], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + (also and ", " + also))
 
 
 def bit_statistics(fps: DataFrame):
@@ -153,6 +155,9 @@ def plan(n: int, both, radius: int) -> tuple[list[list[int]], list[int]]:
                         row[s + t + 1] = y
             table.append(row)
         x, ts = table[-1][total + m]
+        sent = sum(comb(len(g), k) for g, t in zip(groups, ts, strict=True) for k in range(t + 1))
+        if sent > MOST_PROBES:
+            continue
         if best is None or x < best[0]:
             best = (x, groups, ts)
     return best[1], best[2]
@@ -278,3 +283,65 @@ def group_fingerprints(rows: DataFrame, radius: int = 4) -> DataFrame:
 
 def as_hex(fp) -> "F.Column":
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
+    """key, s: the distinct XXH64 of each text's shingles."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+        find = re.compile(rb"[^\x20\x09-\x0d]+").findall
+        for b in batches:
+            out = []
+            for t in b.column(1).cast(pa.binary()):
+                w = find((t.as_py() or b"").translate(low))
+                s = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
+                out.append(np.unique(np.array([xxh64_intdigest(x) for x in s], dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], names=[key, "s"])
+
+    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} long, s array<long>")
+
+
+#: Removed or compared rows up to which their keys (some 20 bytes each) are broadcast.
+SMALL = 500_000
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs as they can be read again, and the same with `_row`: a key of each row that stays the same over reads."""
+    try:
+        return docs, docs.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    except Exception as e:
+        if "_metadata" not in str(e):
+            raise
+        docs = cut(docs, "documents")
+        return docs, docs.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 9, similarity: float = 0.8) -> DataFrame:
+    """docs (doc_id, text, ..) without near-duplicates: of each group the row of the smallest id stays, with its columns.
+
+    Candidates are fingerprints within the radius; a link holds if the texts' sets of shingles have this Jaccard similarity.
+    """
+    docs, keyed = with_row_key(docs)
+    rows = cut(fingerprints(keyed, words, also="_row long"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    known = cut(rows.groupBy("fp").agg(first.alias("m")), "known")
+    near = cut(links(known.select("fp"), radius), "near")
+    ends = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct().join(known, "fp").select("fp", F.col("m._row").alias("_row"))
+    ends = cut(ends, "ends")
+    sure = lambda df: F.broadcast(df) if df.count() <= SMALL else df
+    sets = shingle_sets(keyed.select("_row", "text").join(sure(ends.select("_row")), "_row", "left_semi"), words, "_row").join(ends, "_row").select("fp", "s")
+    sets = cut(sets, "sets")
+    a, b = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    held = near.join(a, "a").join(b, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    roots = components(held).withColumnRenamed("node", "fp")
+    placed = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stay = placed.groupBy("root").agg(F.min("m").alias("m")).select("root", F.col("m._row").alias("stays"))
+    of = cut(placed.join(stay, "root").select("fp", "stays"), "of")
+    gone = cut(rows.join(of, "fp").where("_row <> stays").select("_row"), "gone")
+    return keyed.join(sure(gone), "_row", "left_anti").select(*docs.columns)
