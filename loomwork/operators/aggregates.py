@@ -36,15 +36,13 @@ class Aggregators:
 
 def fold(init, step: Callable, finish: Callable = lambda a: a, kind: str = "double"):
     """An aggregate from a Python fold over a group's non-null values."""
-    import pandas as pd
-
-    def run(values: pd.Series) -> float:
+    def run(values):
         acc = init
         for v in values.dropna():
             acc = step(acc, v)
         return finish(acc)
 
-    return F.pandas_udf(run, kind)
+    return F.pandas_udf(run, kind, F.PandasUDFType.GROUPED_AGG)
 
 
 def reduce_column(df, column: str, merge: Callable[[Column, Column], Column], zero: Column, parts: int = 64):

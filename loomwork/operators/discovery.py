@@ -72,7 +72,7 @@ def to_sql(question: str, schemas: dict[str, list[str]]) -> str:
     agg = next((_AGG[w] for w in words if w in _AGG), None)
     by = re.search(r"\b(?:by|per|for each) (\w+)", low)
     group = col_in(by[1]) if by else None
-    head = re.split(r"\b(?:by|per|where|with|order|sorted|top)\b", low)[0]
+    head = re.split(r"\b(?:by|per|where|with|order|sorted)\b", re.sub(r"\btop \d+", "", low))[0]
     target = col_in(head)
     cond = []
     for pattern, op in _CMP:

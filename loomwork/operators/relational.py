@@ -32,7 +32,7 @@ def join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str =
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def strategy(left: DataFrame, right: DataFrame, rows: int | None = None) -> str:

@@ -15,16 +15,16 @@ def event_time(df: DataFrame, ts: str, delay: str | None = None) -> DataFrame:
 def windowed(df: DataFrame, ts: str, size: str, keys: list[str], aggs: list[Column], slide: str | None = None) -> DataFrame:
     """Tumbling windows, or sliding ones if `slide` is given; window_start and window_end beside keys and aggregates."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return df.groupBy(w.alias("w"), *keys).agg(*aggs).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *[c for c in map(_name, aggs)])
+    return _flat(df.groupBy(w.alias("w"), *keys).agg(*aggs))
 
 
 def sessions(df: DataFrame, ts: str, gap: str, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Windows that end after `gap` without a row of the key."""
-    return df.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(*aggs).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *[_name(c) for c in aggs])
+    return _flat(df.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(*aggs))
 
 
-def _name(c: Column) -> Column:
-    return F.col(c._jc.node().name() if hasattr(c._jc, "node") and hasattr(c._jc.node(), "name") else c._jc.toString().split(" AS ")[-1])
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in df.columns if c != "w"])
 
 
 def with_lateness(df: DataFrame, arrival: str, ts: str, delay: str, within: list[str] | None = None) -> DataFrame:
@@ -69,3 +69,12 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     q.awaitTermination()
     return q
+
+
+def table_stream(spark, folder: str, name: str) -> DataFrame:
+    """A Parquet table, one file or a folder of them, as a stream of its files."""
+    path = f"{folder}/{name}.parquet"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    is_folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
+    return r.parquet(path) if is_folder else r.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
