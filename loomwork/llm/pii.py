@@ -129,8 +129,8 @@ def revealing(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCL
     # documents that hold a term: all of them are counted
     words = docs.select(F.explode(terms_of(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"))).alias("term"))
     known = F.broadcast(terms) if n_terms <= SMALL else terms
-    # counted before the join: a word's rows meet in one, however frequent it is
-    df_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(known, "term", "left_semi")
+    # counted before the join: a word's rows meet in one, however frequent it is (a semi-join would be moved below the count)
+    df_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(known, "term")
     n_entity = seen.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
     total = docs.count()
     got = pairs.join(df_term, "term").join(n_entity, "entity")
