@@ -28,7 +28,7 @@ WINDOW, SHORTEST, LITERALS = 8, 5, 4
 COVER = 0.5
 BLOCK = 1_000_000
 SLICE = 4 << 20
-KNOWN = 200_000
+KNOWN = 100_000
 #: Units that become placeholders after a number.
 UNITS = frozenset("mm cm m km in inch inches ft feet foot yd yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent % degree degrees mph kmh kph watt watts kw volt volts joule joules newton newtons pound pounds gram grams kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres".split())
 NUM, UNIT, NAME = 1, 2, 3

@@ -24,20 +24,26 @@ LONGEST = 20_000
 #: A model has the most frequent languages, so many at most.
 LANGUAGES = 200
 #: Nats for each character above a language's own mean, and standard errors, from which a text is rejected.
-MARGIN, ERRORS = 0.5, 4.0
-CHUNK = 1 << 20
+MARGIN, ERRORS = 1.0, 4.0
+CHUNK = 1 << 19
+ROWS = 1000
 _M = 0x9E3779B97F4A7C15
 
 
 def normal(text: str | None) -> str:
-    """Lower-case letters with one blank for all between words; empty if there is no letter."""
+    """Lower-case letters with one blank for all between words; empty if there is no letter.
+
+    Words with digits in them (keys, codes, addresses) say little of a language and are left out, if others are there.
+    """
     import regex
 
     if not hasattr(normal, "sub"):
         normal.sub = regex.compile(r"[^\p{L}\p{M}]+").sub
+        normal.mixed = regex.compile(r"(?<!\S)[^\s\p{N}]*+\p{N}\S*+").sub
     if not text:
         return ""
-    s = normal.sub(" ", text.lower()).strip()
+    low = text.lower()
+    s = normal.sub(" ", normal.mixed(" ", low)).strip() or normal.sub(" ", low).strip()
     return s if any(map(str.isalpha, s)) else ""
 
 
@@ -285,7 +291,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         import pyarrow as pa
 
         m = sent.value
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts = [normal(x.as_py()) for x in b.column(names.index(text_col))]
             keep = [i for i, s in enumerate(texts) if s]
             pred, score, ent, rej = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), dtype=bool)

@@ -301,7 +301,7 @@ def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
                 w = find((t.as_py() or b"").translate(low))
                 s = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
                 out.append(np.unique(np.array([xxh64_intdigest(x) for x in s], dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], names=[key, "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32), np.concatenate(out) if out else np.zeros(0, dtype=np.int64))], names=[key, "s"])
 
     return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} long, s array<long>")
 

@@ -17,7 +17,7 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Texts made of these only are split here: ASCII, Latin letters and the punctuation of European languages.
 UNSURE = r"[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞]"
 #: Pieces and pre-tokens that a worker keeps; a full cache starts anew.
-CACHE = 400_000
+CACHE = 250_000
 LONGEST_KEPT = 64
 
 

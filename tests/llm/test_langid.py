@@ -58,3 +58,8 @@ def test_long_text_by_parts(spark, monkeypatch):
     monkeypatch.setattr(langid, "CHUNK", 37)
     parts, n2 = m.entropies(texts)
     assert np.allclose(whole, parts) and (n == n2).all()
+
+
+def test_normal_text():
+    assert langid.normal('The key = "AKIA12XY" Is here x9') == "the key is here"
+    assert langid.normal("abc123") == "abc" and langid.normal("12 ..") == "" == langid.normal(None)
