@@ -66,7 +66,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *(c.alias(k) for k, c in n.items()), F.sha2(pii.spell("base").cast("binary"), 256).alias("base_sha256"), pii.spell("spans").alias("spans"))
 
 
-@registry.query()
+_OP9 = """WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, '')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY n)) AS turns_sha256, CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(t, '' ORDER BY n) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256, CAST(sum(18 + length(replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), chr(10), '&nl;')) + length(replace(replace(t, '&', '&amp;'), '<', '&lt;'))) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id"""
+
+
+@registry.query(oracle=_OP9)
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     rows = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")

@@ -52,3 +52,16 @@ def test_trees(spark):
     f = best[0]["formatted"]
     assert [f[s["start"] : s["stop"]] for s in best[0]["mask"]] == ["good", "end"]
     assert chat.conversations(m.limit(0)).count() == 0
+
+
+def test_sql_twin(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    rows = registry.queries["op9_chat_formatting"](spark, folder)
+    got = c.execute(registry.sql["op9_chat_formatting"])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == sorted(rows.columns)
+    assert sorted(tuple(r[n] for n in names) for r in rows.collect()) == sorted(got.fetchall())
