@@ -30,11 +30,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", codec: str = "snappy", **options) -> DataFrame:
     """Writes df to the shared folder and reads it back: the plan starts anew there, and lost executors cost nothing that was written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
