@@ -297,3 +297,24 @@ def test_joins_and_scalars(spark):
     assert R.strategy(spark.range(5), spark.range(9)) == "broadcast_hash" and R.describe(spark.range(0)).first()["count"] == 0
     row = spark.createDataFrame([("  ab \t", 2.5)], "s string, x double").select(compat.strip(F.col("s")), compat.half_even(F.col("x")), compat.substr0(F.lit("hello"), 1, 3), compat.concat_lenient(F.lit("a"), F.lit(None)), compat.cast_or_null(F.lit("x"), "int")).first()
     assert list(row) == ["ab", 2.0, "ell", "a", None]
+
+
+def test_pattern_stream_keeps_state(spark, tmp_path):
+    from loomwork.streaming.stateful import match_stream
+
+    rows = [(1, "u", "a", 0), (2, "v", "a", 1), (3, "u", "x", 2), (4, "u", "b", 3), (5, "v", "b", 4000)]
+    df = spark.createDataFrame(rows, "id long, k string, t string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for i in (0, 1):
+        df.where(f"id {'<=' if i == 0 else '>'} 2").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    p = cep.Pattern.begin("a", "ab").where(lambda r: r["t"] == "a").followed_by("b").where(lambda r: r["t"] == "b").within(60)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 hour")
+    W.run_to_end(match_stream(stream, "k", "ts", [p], "id"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert [(r["k"], r["events"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("u", [1, 4])]
+
+
+def test_routes(spark):
+    from loomwork.operators.routes import fewest_hops
+
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "d", 1.0), ("a", "c", 5.0), ("c", "d", 5.0), ("d", "a", 1.0), ("a", "e", 9.0)], "src string, dst string, cost double")
+    assert fewest_hops(links, "a", "d").first()["path"] == ["a", "b", "d"]
+    assert fewest_hops(links, "e", "a").count() == 0
