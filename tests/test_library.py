@@ -303,7 +303,7 @@ def test_pattern_stream_keeps_state(spark, tmp_path):
     from loomwork.streaming.stateful import match_stream
 
     rows = [(1, "u", "a", 0), (2, "v", "a", 1), (3, "u", "x", 2), (4, "u", "b", 3), (5, "v", "b", 4000)]
-    df = spark.createDataFrame(rows, "id long, k string, t string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    df = spark.createDataFrame(rows, "id long, k string, t string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
     for i in (0, 1):
         df.where(f"id {'<=' if i == 0 else '>'} 2").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     p = cep.Pattern.begin("a", "ab").where(lambda r: r["t"] == "a").followed_by("b").where(lambda r: r["t"] == "b").within(60)
