@@ -1,7 +1,7 @@
 """Nearest neighbours by multi-index hashing over learned binary codes.
 
 Codes: the vectors' principal axes, rotated several times so that signs lose least (iterative quantisation, each rotation from
-its own start), give `rotations` x dimension bits. A code is split into 16-bit substrings, each with an index of the values
+its own start), give `rotations` x dimension bits. A code is split into 64-bit substrings, each with an index of the values
 that occur. Two codes within radius r differ in at most t_j bits of some substring j if sum(t_j + 1) > r, so probing each
 index within t_j retrieves every code within r; a query's radius starts from what the fit suggests and grows until enough
 codes lie within it. Those are ranked by inner products of the original vectors in double precision.
@@ -60,19 +60,18 @@ def encode(x, mean, matrix):
 
 
 class Index:
-    """Substring tables of a block of codes."""
+    """Substring tables of a block of codes: the values that occur, and the codes of each."""
 
     def __init__(self, codes):
         import numpy as np
 
         self.np, self.codes = np, codes
-        parts = codes.view("<u2")
-        self.n, self.m = parts.shape
+        self.n, self.m = codes.shape
         self.tables = []
         for j in range(self.m):
-            order = np.argsort(parts[:, j], kind="stable")
-            values, first = np.unique(parts[order, j], return_index=True)
-            self.tables.append((values, np.append(first, self.n), order))
+            order = np.argsort(codes[:, j], kind="stable")
+            values, first = np.unique(codes[order, j], return_index=True)
+            self.tables.append((values, np.diff(np.append(first, self.n)), order))
 
     def thresholds(self, radius: int) -> list[int]:
         """t_j with sum(t_j + 1) = radius + 1."""
@@ -83,25 +82,20 @@ class Index:
         """All codes within the radius and their distances."""
         np = self.np
         seen = np.zeros(self.n, dtype=bool)
-        parts = query.view("<u2")
         for j, t in enumerate(self.thresholds(radius)):
             if t < 0:
                 continue
-            values, first, order = self.tables[j]
-            near = np.flatnonzero(np.bitwise_count(values ^ parts[j]) <= t)
-            if len(near) * 2 > len(values):
-                seen[order[np.repeat(np.bitwise_count(values ^ parts[j]) <= t, np.diff(first))]] = True
-            else:
-                for a in near:
-                    seen[order[first[a] : first[a + 1]]] = True
+            values, many, order = self.tables[j]
+            near = np.bitwise_count(values ^ query[j]) <= t
+            seen[order[near if len(values) == self.n else np.repeat(near, many)]] = True
         at = np.flatnonzero(seen)
-        d = np.bitwise_count(self.codes[at] ^ query).sum(axis=1)
+        d = np.bitwise_count(self.codes[at] ^ query).sum(axis=1, dtype=np.int64)
         keep = d <= radius
         return at[keep], d[keep]
 
     def search(self, query, enough: int, radius: int):
         """The codes within the least radius of a growing row of them that takes in `enough`; and that radius."""
-        bits = 16 * self.m
+        bits = 64 * self.m
         while True:
             at, _ = self.within(query, radius)
             if len(at) >= min(enough, self.n) or radius >= bits:
@@ -163,9 +157,8 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
                 at, r = index.search(codes[i], enough, radius)
                 radius = r if r == radius else radius + 1
                 score = (x[at] * q[i]).sum(axis=1)
-                top = at[np.lexsort((least[at], -score))[: k + 1]]
-                score = dict(zip(at.tolist(), score.tolist(), strict=True))
-                pairs = sorted((-score[a], v) for a in top.tolist() for v in ids[a])[: k + 1]
+                top = np.lexsort((least[at], -score))[: k + 1]
+                pairs = sorted((-s, v) for a, s in zip(at[top].tolist(), score[top].tolist(), strict=True) for v in ids[a])[: k + 1]
                 out[0] += [key] * len(pairs)
                 out[1] += [v for _, v in pairs]
                 out[2] += [-s for s, _ in pairs]
