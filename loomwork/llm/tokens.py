@@ -16,8 +16,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts made of these only are split here: ASCII, Latin letters and the punctuation of European languages.
 UNSURE = r"[^\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞]"
-#: Pieces and pre-tokens that a worker keeps; a full cache starts anew.
-CACHE = 250_000
+#: Pieces and pre-tokens that a worker keeps. A full cache stays as it is, as the words that came first are the frequent
+#: ones, and starts anew after PATIENCE times as many misses.
+CACHE, PATIENCE = 250_000, 16
 LONGEST_KEPT = 64
 
 
@@ -42,14 +43,18 @@ class Kept(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.misses = make, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(key) <= LONGEST_KEPT:
-            if len(self) >= CACHE:
+        if len(self) < CACHE:
+            if len(key) <= LONGEST_KEPT:
+                self[key] = value
+        else:
+            self.misses += 1
+            if self.misses > PATIENCE * CACHE:
                 self.clear()
-            self[key] = value
+                self.misses = 0
         return value
 
 
@@ -65,6 +70,7 @@ class Encoder:
         self.split = regex.compile(PRETOKEN).findall
         self.unsure = regex.compile(UNSURE).search
         self.merge, self.char = self.tok.model.tokenize, byte_characters()
+        self.blank = self.char[32]
         self.pre = Kept(self._merged)
         self.after_blank = Kept(self._after_blank)
 
@@ -74,6 +80,8 @@ class Encoder:
     def _after_blank(self, word: str) -> bytes:
         """The ids of a blank and what follows it."""
         if word.isalpha():
+            if word.isascii():  # as they are in the vocabulary
+                return array("I", map(_id, self.merge(self.blank + word))).tobytes()
             return self._merged(" " + word)
         if word[-1:] in _MARKS and word[:-1].isalpha():
             return self.after_blank[word[:-1]] + self.pre[word[-1]]
