@@ -113,3 +113,17 @@ def encrypt(x: Column, key: Column) -> Column:
 
 def decrypt(x: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unbase64(x), key).cast("string")
+
+
+def residency(df: DataFrame, region: str, allowed: dict[str, list[str]], tenant: str) -> DataFrame:
+    """Rows with `compliant`: whether the tenant may hold data of that region."""
+    rule = F.create_map(*[x for t, r in allowed.items() for x in (F.lit(t), F.array(*map(F.lit, r)))])
+    return df.withColumn("compliant", F.coalesce(F.array_contains(F.try_element_at(rule, F.col(tenant)), F.col(region)), F.lit(False)))
+
+
+def audit(df: DataFrame, **want) -> DataFrame:
+    """Events that have all of the given values; None leaves a column free."""
+    for c, v in want.items():
+        if v is not None:
+            df = df.where(F.col(c) == v)
+    return df

@@ -43,3 +43,10 @@ def salted_sum(df: DataFrame, key: str, value: str, salts: int = 16) -> DataFram
     """A sum by key whose hot keys are first summed by a salt."""
     s = df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     return s.groupBy(key, "_s").agg(F.sum(value).alias("v")).groupBy(key).agg(F.sum("v").alias(f"sum_{value}"))
+
+
+def placement(log: DataFrame, item: str, place: str, share: float = 0.5) -> DataFrame:
+    """Where an item is read most: `move` if over `share` of its reads come from one place, else `replicate`."""
+    per = log.groupBy(item, place).agg(F.count("*").alias("reads"))
+    best = per.groupBy(item).agg(F.max_by(place, F.struct("reads", place)).alias("place"), F.max("reads").alias("most"), F.sum("reads").alias("reads"))
+    return best.select(item, "place", "reads", F.when(F.col("most") > share * F.col("reads"), "move").otherwise("replicate").alias("advice"))

@@ -116,3 +116,17 @@ def greedy_schedule(df: DataFrame, link: str, priority: str, size: str, capacity
         return pdf[keep]
 
     return df.groupBy(link).applyInPandas(run, df.schema)
+
+
+def load_pattern(df: DataFrame, ts: str, series: str, order: list[str], value: str, least: int = 1440) -> DataFrame:
+    """For each series: unknown (few samples), periodic, trending or stable; and the forecast for the next hour from the last 60 values."""
+    per_day = df.groupBy(series, F.to_date(ts).alias("d"), F.hour(ts).alias("hour")).agg(F.count("*").alias("n"))
+    hours = per_day.groupBy(series, "hour").agg(F.avg("n").alias("m")).groupBy(series).agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("ss"))
+    mean = F.col("s") / 24  # hours without rows are 0
+    cv = hours.select(series, (F.sqrt((F.col("ss") - 24 * mean * mean) / 23) / mean).alias("cv"))
+    trend = quarter_trend(df, series, order, value)
+    w = Window.partitionBy(series).orderBy(*[F.desc(c) for c in order])
+    last = df.withColumn("_r", F.row_number().over(w)).where("_r <= 60").groupBy(series).agg(F.avg(value).alias("recent"))
+    got = trend.join(cv, series).join(last, series)
+    kind = F.when(F.col("n") < least, "unknown").when(F.col("cv") > 0.3, "periodic").when(F.abs("trend") > 0.1, "trending").otherwise("stable")
+    return got.select(series, kind.alias("pattern"), (F.col("recent") * F.when(kind == "trending", 1 + F.col("trend") / 24).otherwise(1.0)).alias("forecast"))

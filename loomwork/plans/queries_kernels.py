@@ -503,3 +503,26 @@ def csv_json_round_trip(spark, sf_dir):
     back = io.read_csv(spark, f"{f}/csv").select(F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("int"))
     io.write_jsonl(back, f"{f}/json")
     return io.read_jsonl(spark, f"{f}/json", "p_partkey long, p_name string, p_size int")[0]
+
+
+@q(oracle="""WITH p AS (SELECT event_type, CAST(ts AS DATE) AS d, hour(ts) AS h, count(*) AS n FROM events GROUP BY 1, 2, 3), m AS (SELECT event_type, h, avg(n) AS m FROM p GROUP BY 1, 2), c AS (SELECT event_type, sqrt((sum(m * m) - 24 * (sum(m) / 24) * (sum(m) / 24)) / 23) / (sum(m) / 24) AS cv FROM m GROUP BY 1),
+r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events), t AS (SELECT event_type, n, (avg(CASE WHEN r > n - n // 4 THEN value END) - avg(CASE WHEN r <= n // 4 THEN value END)) / avg(CASE WHEN r <= n // 4 THEN value END) AS trend, avg(CASE WHEN r > n - 60 THEN value END) AS recent FROM r GROUP BY 1, 2),
+k AS (SELECT *, CASE WHEN n < 1440 THEN 'unknown' WHEN cv > 0.3 THEN 'periodic' WHEN abs(trend) > 0.1 THEN 'trending' ELSE 'stable' END AS pattern FROM t JOIN c USING (event_type)) SELECT event_type, pattern, round(recent * CASE WHEN pattern = 'trending' THEN 1 + trend / 24 ELSE 1 END, 6) AS forecast FROM k""")
+def ts_load_pattern(spark, sf_dir):
+    return S.load_pattern(table(spark, sf_dir, "events"), "ts", "event_type", ["ts", "event_id"], "value").withColumn("forecast", F.round("forecast", 6))
+
+
+@q(oracle="WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, arg_max(event_type, (n, event_type)) AS place, CAST(sum(n) AS BIGINT) AS reads, CASE WHEN max(n) > 0.4 * sum(n) THEN 'move' ELSE 'replicate' END AS advice FROM p GROUP BY 1")
+def part_placement_advice(spark, sf_dir):
+    return P.placement(table(spark, sf_dir, "events"), "user_id", "event_type", 0.4)
+
+
+@q(oracle="SELECT c_custkey, (c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3)) OR (c_mktsegment = 'MACHINERY' AND c_nationkey IN (4)) AS compliant FROM customer")
+def data_residency(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("n", F.col("c_nationkey").cast("string"))
+    return I.residency(c, "n", {"BUILDING": ["1", "2", "3"], "MACHINERY": ["4"]}, "c_mktsegment").select("c_custkey", "compliant")
+
+
+@q(oracle="SELECT event_type, count(*) AS n FROM events WHERE user_id = 7 GROUP BY 1")
+def audit_search(spark, sf_dir):
+    return I.audit(table(spark, sf_dir, "events"), user_id=7, event_type=None).groupBy("event_type").agg(F.count("*").alias("n"))

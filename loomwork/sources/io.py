@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loomwork.sources.resilience import retry
+
 CODECS = {"none": "none", "snappy": "snappy", "gzip": "gzip", "lz4": "lz4_raw", "zstd": "zstd", "brotli": "brotli"}
 MODES = {"skip": "DROPMALFORMED", "raise": "FAILFAST", "keep": "PERMISSIVE"}
 
@@ -145,15 +146,12 @@ class HttpReader(DataSourceReader):
         from urllib.request import Request, urlopen
 
         url = self.o["url"].replace("{page}", str(part.page))
-        for attempt in range(int(self.o.get("retries", 3)) + 1):
-            try:
-                with urlopen(Request(url, headers=json.loads(self.o.get("headers", "{}"))), timeout=float(self.o.get("timeout", 30))) as r:
-                    got = json.load(r)
-                break
-            except OSError:
-                if attempt == int(self.o.get("retries", 3)):
-                    raise
-                time.sleep(float(self.o.get("wait", 0.5)) * 2**attempt)
+
+        def fetch():
+            with urlopen(Request(url, headers=json.loads(self.o.get("headers", "{}"))), timeout=float(self.o.get("timeout", 30))) as r:
+                return json.load(r)
+
+        got = retry(fetch, attempts=int(self.o.get("retries", 3)) + 1, wait=float(self.o.get("wait", 0.5)))
         if isinstance(got, dict):
             got = next((got[k] for k in ("data", "items", "results") if k in got), [got])
         for r in got:

@@ -318,3 +318,33 @@ def test_routes(spark):
     links = spark.createDataFrame([("a", "b", 1.0), ("b", "d", 1.0), ("a", "c", 5.0), ("c", "d", 5.0), ("d", "a", 1.0), ("a", "e", 9.0)], "src string, dst string, cost double")
     assert fewest_hops(links, "a", "d").first()["path"] == ["a", "b", "d"]
     assert fewest_hops(links, "e", "a").count() == 0
+
+
+def test_retries_breaker_and_cache(spark):
+    from loomwork.operators.caching import Cache
+    from loomwork.sources.resilience import Breaker, OpenError, retry
+
+    waits, calls = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return 7
+
+    assert retry(flaky, wait=1, jitter=0, sleep=waits.append) == 7 and waits == [1, 2]
+    now = [0.0]
+    b = Breaker(2, 10, clock=lambda: now[0])
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            b.call(lambda: 1 / 0)
+    with pytest.raises(OpenError):
+        b.call(lambda: 1)
+    now[0] = 11
+    assert b.call(lambda: 1) == 1
+    c = Cache(2)
+    df = c.get("a", lambda: spark.range(3), ("t",))
+    assert c.get("a", lambda: None) is df
+    c.get("b", lambda: spark.range(1))
+    c.get("c", lambda: spark.range(1), ("t",))
+    assert c.names() == ["a", "c"] and c.invalidate("t") == ["a", "c"] and c.names() == []
