@@ -29,7 +29,7 @@ BLOCK, QUERY_BLOCK = 16_384, 1024
 ENOUGH = 400
 
 
-def fit(x, rotations: int = ROTATIONS, steps: int = 20, seed: int = 0):
+def fit(x, rotations: int = ROTATIONS, steps: int = 8, seed: int = 0):
     """The mean and a matrix (dimension x bits) whose signs are the code."""
     import numpy as np
 
