@@ -3,8 +3,9 @@
 Base kinds are e-mail addresses, IP addresses, card numbers and phone numbers. Beyond them, corpus co-occurrence tells how
 strongly the terms around a protected value reveal it: with documents as events, PMI(value, term) = log2(n(value, term) N /
 (n(value) n(term))), and a term whose PMI is at least `disclosure` of the value's own information -log2(n(value) / N) is a span
-of kind `term` in every document that holds the value. Co-occurrences are counted over different contexts, so copies of a
-passage count once, and `support` of them are needed. Sanitising generalises spans to the kind's label.
+of kind `term` in every document that holds the value. Co-occurrences are counted over different contexts (the words within
+REACH characters of a value, told apart by a minimum hash), so copies of a passage count once and near copies hardly more, and
+`support` of them are needed. Sanitising generalises spans to the kind's label.
 
 Only DataFrame expressions are used. Single separators and inner dots are marked first, so every pattern is a run of character
 classes: Java's matcher then needs no stack and no second look at long runs.
@@ -34,7 +35,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 #: Characters on either side of a value whose words are its context.
 REACH = 60
-SUPPORT, DISCLOSURE = 3, 0.6
+SUPPORT, DISCLOSURE = 4, 0.6
 #: Rows of texts with revealing terms up to which they are broadcast: some hundred bytes each.
 SMALL = 100_000
 
@@ -117,9 +118,12 @@ def revealing(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCL
     left = F.regexp_extract(F.substring("text", F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH))), r"(?s)^\S*(.*?)\S*$", 1)
     right = F.regexp_extract(F.substring("text", F.col("s.stop") + 1, F.lit(REACH)), r"(?s)^\S*(.*?)\S*$", 1)
     around = F.concat_ws(" ", left, right)
-    seen = one.select(entity(F.col("s")).alias("entity"), around.alias("around"), F.xxhash64("text").alias("doc")).withColumn("context", F.xxhash64("around"))
-    seen = cut(seen, "contexts")
-    pairs = seen.select("entity", "context", F.explode(terms_of(F.split("around", r"\s+"))).alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
+    words_near = terms_of(F.split(around, r"\s+"))
+    seen = one.select(entity(F.col("s")).alias("entity"), words_near.alias("near")).withColumn("sketch", F.slice(F.array_sort(F.transform("near", lambda w: F.xxhash64(w))), 1, 2))
+    seen = cut(seen.withColumn("context", F.get("sketch", F.lit(0))), "contexts")
+    # a context is the least hash of its other words: windows that share most words tend to share it, so near copies count little
+    least = F.when(F.get("sketch", F.lit(0)) == F.xxhash64("term"), F.get("sketch", F.lit(1))).otherwise(F.get("sketch", F.lit(0)))
+    pairs = seen.where(F.size("near") > 0).select("entity", "sketch", F.explode("near").alias("term")).select("entity", "term", F.coalesce(least, F.lit(0)).alias("context")).distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
     pairs = cut(pairs, "pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
