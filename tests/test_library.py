@@ -348,3 +348,17 @@ def test_retries_breaker_and_cache(spark):
     c.get("b", lambda: spark.range(1))
     c.get("c", lambda: spark.range(1), ("t",))
     assert c.names() == ["a", "c"] and c.invalidate("t") == ["a", "c"] and c.names() == []
+
+
+def test_optimisers():
+    import numpy as np
+
+    from loomwork.operators import optimise
+
+    f = lambda p: (p["x"] - 1) ** 2 + (p["y"] + 2) ** 2
+    bounds = {"x": (-5, 5), "y": (-5, 5)}
+    assert optimise.particles(f, bounds)[1] < 1e-3 and optimise.fireflies(f, bounds)[1] < 0.5 and optimise.hybrid(f, bounds)[1] < 1e-3
+    a = np.linspace(0, 2 * np.pi, 9)[:-1]
+    xy = np.stack([np.cos(a), np.sin(a)], axis=1)
+    d = np.linalg.norm(xy[:, None] - xy[None], axis=2)
+    assert abs(optimise.ant_tour(d)[1] - d[range(8), [(i + 1) % 8 for i in range(8)]].sum()) < 1e-6
