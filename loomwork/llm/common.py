@@ -26,8 +26,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that this process has cut so far; frames that read them can't be used any more."""
+    path, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(_made)
+    for p in _made:
+        where = path(p)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _made.clear()
+    return n
 
 
 def cut(df: DataFrame, name: str = "t", codec: str = "snappy", **options) -> DataFrame:
