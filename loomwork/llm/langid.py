@@ -40,10 +40,12 @@ def normal(text: str | None) -> str:
     if not hasattr(normal, "sub"):
         normal.sub = regex.compile(r"[^\p{L}\p{M}]+").sub
         normal.mixed = regex.compile(r"(?<!\S)[^\s\p{N}]*+\p{N}\S*+").sub
+        normal.digit = regex.compile(r"\p{N}").search
     if not text:
         return ""
     low = text.lower()
-    s = normal.sub(" ", normal.mixed(" ", low)).strip() or normal.sub(" ", low).strip()
+    plain = normal.mixed(" ", low) if normal.digit(low) else low
+    s = normal.sub(" ", plain).strip() or normal.sub(" ", low).strip()
     return s if any(map(str.isalpha, s)) else ""
 
 
