@@ -111,49 +111,49 @@ def terms_of(words: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda w: (F.length(w) > 1) & w.rlike(r"\p{L}")))
 
 
-def revealing(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, text_col: str = "text") -> DataFrame:
-    """entity, term, pmi, information: the terms that give a protected value away."""
+def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row for each base span: the text's key, the entity, and its context as distinct words and their two least hashes."""
     found = base_spans(docs.select(F.col(text_col).cast("string").alias("text")), "text").where(F.size("base") > 0)
     one = found.select("text", F.explode("base").alias("s"))
     left = F.regexp_extract(F.substring("text", F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH))), r"(?s)^\S*(.*?)\S*$", 1)
     right = F.regexp_extract(F.substring("text", F.col("s.stop") + 1, F.lit(REACH)), r"(?s)^\S*(.*?)\S*$", 1)
-    around = F.concat_ws(" ", left, right)
-    words_near = terms_of(F.split(around, r"\s+"))
-    seen = one.select(entity(F.col("s")).alias("entity"), words_near.alias("near")).withColumn("sketch", F.slice(F.array_sort(F.transform("near", lambda w: F.xxhash64(w))), 1, 2))
-    seen = cut(seen.withColumn("context", F.get("sketch", F.lit(0))), "contexts")
+    near = terms_of(F.split(F.concat_ws(" ", left, right), r"\s+"))
+    seen = one.select(_key("text").alias("key"), entity(F.col("s")).alias("entity"), near.alias("near"))
+    return cut(seen.withColumn("sketch", F.slice(F.array_sort(F.transform("near", lambda w: F.xxhash64(w))), 1, 2)), "contexts")
+
+
+def _key(text_col: str) -> Column:
+    return F.xxhash64(F.lit(5), F.col(text_col))
+
+
+def revealing(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, text_col: str = "text", seen: DataFrame | None = None) -> DataFrame:
+    """entity, term, pmi, information: the terms that give a protected value away. seen: contexts(docs), if at hand."""
+    seen = contexts(docs, text_col) if seen is None else seen
     # a context is the least hash of its other words: windows that share most words tend to share it, so near copies count little
-    least = F.when(F.get("sketch", F.lit(0)) == F.xxhash64("term"), F.get("sketch", F.lit(1))).otherwise(F.get("sketch", F.lit(0)))
+    first = F.get("sketch", F.lit(0))
+    least = F.when(first == F.xxhash64("term"), F.get("sketch", F.lit(1))).otherwise(first)
     pairs = seen.where(F.size("near") > 0).select("entity", "sketch", F.explode("near").alias("term")).select("entity", "term", F.coalesce(least, F.lit(0)).alias("context")).distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
     pairs = cut(pairs, "pairs")
     terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    out = "entity long, term string, pmi double, information double"
-    if not n_terms:
-        return docs.sparkSession.createDataFrame([], out)
-    # documents that hold a term: all of them are counted
+    # documents that hold a term: all words of all documents are counted, then met with the candidates
     words = docs.select(F.explode(terms_of(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"))).alias("term"))
-    known = F.broadcast(terms) if n_terms <= SMALL else terms
-    # counted before the join: a word's rows meet in one, however frequent it is (a semi-join would be moved below the count)
-    df_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(known, "term")
-    n_entity = seen.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
+    counted = cut(words.groupBy("term").agg(F.count("*").alias("n_term")), "words")
+    df_term = counted.join(F.broadcast(terms) if terms.count() <= SMALL else terms, "term")
+    n_entity = seen.groupBy("entity").agg(F.countDistinct(F.coalesce(first, F.lit(0))).alias("n_entity"))
     total = docs.count()
     got = pairs.join(df_term, "term").join(n_entity, "entity")
-    lg = lambda x: F.log2(x)
-    got = got.withColumns({"pmi": lg(F.col("together") * float(total) / (F.col("n_entity") * F.greatest("n_term", "together"))), "information": lg(float(total) / F.col("n_entity"))})
+    got = got.withColumns({"pmi": F.log2(F.col("together") * float(total) / (F.col("n_entity") * F.greatest("n_term", "together"))), "information": F.log2(float(total) / F.col("n_entity"))})
     return cut(got.where((F.col("pmi") > 0) & (F.col("pmi") >= disclosure * F.col("information"))).select("entity", "term", "pmi", "information"), "revealing")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, text_col: str = "text") -> DataFrame:
     """docs with `base` and `spans` (base and terms), each array<struct<start, kind, stop, value>> in order."""
-    tell = revealing(docs, support, disclosure, text_col)
-    df = base_spans(docs, text_col)
-    if tell.isEmpty():
-        return df.withColumn("spans", F.col("base"))
-    key = F.xxhash64(F.lit(5), F.col(text_col))
-    held = base_spans(docs.select(F.col(text_col)), text_col).where(F.size("base") > 0).select(key.alias("_key"), F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).distinct()
+    seen = contexts(docs, text_col)
+    tell = revealing(docs, support, disclosure, text_col, seen)
+    held = seen.select(F.col("key").alias("_key"), "entity").distinct()
     by_text = cut(held.join(tell.select("entity", "term"), "entity").groupBy("_key").agg(F.collect_set("term").alias("_terms")), "terms")
     by_text = F.broadcast(by_text) if by_text.count() <= SMALL else by_text
-    df = df.withColumn("_key", key).join(by_text, "_key", "left")
+    df = base_spans(docs, text_col).withColumn("_key", _key(text_col)).join(by_text, "_key", "left")
     all_words = places(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WORD, 4)
     hit = F.filter(all_words, lambda x: F.size(F.array_intersect(terms_of(F.array(x["value"])), F.col("_terms"))) > 0)
     own = F.filter(hit, lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
