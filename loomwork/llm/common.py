@@ -59,3 +59,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_of_id(col) -> "F.Column":
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
+
+
+def give_back() -> None:
+    """At the end of a task: memory that a worker has freed goes back to the system, as workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm.common import give_back
+
 WINDOW, SHORTEST, LITERALS = 8, 5, 4
 COVER = 0.5
 BLOCK = 1_000_000
-SLICE = 4 << 20
-KNOWN = 100_000
+SLICE = 2 << 20
+KNOWN = 50_000
 #: Units that become placeholders after a number.
 UNITS = frozenset("mm cm m km in inch inches ft feet foot yd yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent % degree degrees mph kmh kph watt watts kw volt volts joule joules newton newtons pound pounds gram grams kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres".split())
 NUM, UNIT, NAME = 1, 2, 3
@@ -203,6 +205,7 @@ def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, cover: float =
                     i += step
                 cols = [b.column(k) if c != "leaks" else pa.array(leaks, b.schema.field(k).type) for k, c in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            give_back()
 
         out = out.mapInArrow(run, schema)
     return out.select(*(F.col(f"`{c}`") for c in keep), "leaks")

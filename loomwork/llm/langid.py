@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import give_back
+
 ORDER = 4
 SAMPLE = 1200
 LONGEST = 20_000
@@ -25,8 +27,8 @@ LONGEST = 20_000
 LANGUAGES = 200
 #: Nats for each character above a language's own mean, and standard errors, from which a text is rejected.
 MARGIN, ERRORS = 1.0, 4.0
-CHUNK = 1 << 19
-ROWS = 1000
+CHUNK = 1 << 18
+ROWS = 500
 _M = 0x9E3779B97F4A7C15
 
 
@@ -308,5 +310,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     pred[i] = m.langs[best[k]]
                 score[keep], ent[keep], rej[keep] = 1 / soft.sum(axis=1), low, above
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(pred), pa.array(score), pa.array(ent, mask=np.isnan(ent)), pa.array(rej)], names=[*names, "lang_pred", "score", "cross_entropy", "rejected"])
+        give_back()
 
     return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema + ", lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import cut
+from loomwork.llm.common import cut, give_back
 from loomwork.llm.graph import components
 
 BITS = 64
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
             texts = b.column(1).cast(pa.binary())
             fp = np.array([of(x.as_py() or b"") for x in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *(b.column(2 + k) for k in range(len(more)))], names=["doc_id", "fp", *more])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + (also and ", " + also))
 
@@ -302,6 +303,7 @@ def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
                 s = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
                 out.append(np.unique(np.array([xxh64_intdigest(x) for x in s], dtype=np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32), np.concatenate(out) if out else np.zeros(0, dtype=np.int64))], names=[key, "s"])
+        give_back()
 
     return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} long, s array<long>")
 
