@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from itertools import combinations
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ MOST_PROBES = 700
 SHORT = 24
 #: Runs longer than this are dealt over further blocks of bits first.
 LONG = 20_000
+#: Rounds in which one_of_each verifies pairs with a hub only, before all pairs that are left.
+ROUNDS = 2
+#: Documents of the sample that tells which shingles are frequent, from how many of them on, and how many such at most.
+SAMPLE, OFTEN, MOST_FREQUENT = 10_000, 4, 100_000
+_LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_WORDS = re.compile(rb"[^\x20\x09-\x0d]+").findall
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", also: str = "") -> DataFrame:
@@ -286,26 +293,88 @@ def as_hex(fp) -> "F.Column":
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def shingles(text: bytes, words: int):
+    """The distinct XXH64 of a text's shingles, sorted."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    w = _WORDS(text.translate(_LOW))
+    whole = b" ".join(w)
+    if len(w) <= words:
+        return np.array([xxh64_intdigest(whole)], dtype=np.uint64)
+    ends = np.cumsum([len(x) + 1 for x in w])
+    starts = np.concatenate([[0], ends[:-1]])[: len(w) - words + 1]
+    return np.unique(np.array([xxh64_intdigest(whole[a:b]) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64))
+
+
+def _lists(arrays):
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, dtype=np.int64))
+
+
 def shingle_sets(docs: DataFrame, words: int, key: str) -> DataFrame:
     """key, s: the distinct XXH64 of each text's shingles."""
 
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = [shingles(t.as_py() or b"", words) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(out)], names=[key, "s"])
+        give_back()
+
+    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} long, s array<long>")
+
+
+def frequent(keyed: DataFrame, words: int) -> list[tuple[int, int]]:
+    """(shingle, count) of shingles that a sample of documents has often. They only order shingles: any order finds all pairs."""
+    n = keyed.count()
+    part = keyed if n <= SAMPLE else keyed.sample(SAMPLE / n, seed=42)
+    got = shingle_sets(part, words, "_row").select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("k")).where(f"k >= {OFTEN}")
+    return [(r["x"], r["k"]) for r in got.orderBy(F.desc("k")).limit(MOST_FREQUENT).collect()]
+
+
+def prefixes(keyed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, _row, node (hash of the set of shingles), n (its size), bits (256, each the parity of its shingles), prefix.
+
+    Shingles have one order, rare ones first. Two sets of at least this Jaccard similarity have as many shingles in common as
+    the ceiling of similarity * n of either, so their first n - ceil(similarity * n) + 1 shingles have one in common.
+    """
+    often = sorted((x & 0xFFFFFFFFFFFFFFFF, k) for x, k in frequent(keyed, words))
+    sent = keyed.sparkSession.sparkContext.broadcast(often)
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-        find = re.compile(rb"[^\x20\x09-\x0d]+").findall
+        known = np.array([x for x, _ in sent.value] or [0], dtype=np.uint64)
+        count = np.array([k for _, k in sent.value] or [0], dtype=np.int64)
         for b in batches:
-            out = []
-            for t in b.column(1).cast(pa.binary()):
-                w = find((t.as_py() or b"").translate(low))
-                s = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
-                out.append(np.unique(np.array([xxh64_intdigest(x) for x in s], dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32), np.concatenate(out) if out else np.zeros(0, dtype=np.int64))], names=[key, "s"])
+            node, size, bits, prefix = [], [], [], []
+            for t in b.column(2).cast(pa.binary()):
+                s = shingles(t.as_py() or b"", words)
+                n = len(s)
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                rank = np.where(known[at] == s, count[at], 0)
+                if rank.any():
+                    order = s[np.argsort(rank, kind="stable")]
+                else:
+                    order = s
+                prefix.append(order[: n - ceil(similarity * n - 1e-9) + 1])
+                node.append(xxh64_intdigest(s.tobytes()))
+                size.append(n)
+                parity = (np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+                bits.append(np.packbits(parity).view(np.uint64))
+            ids = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, pa.array(size, pa.int64()), _lists(bits), _lists(prefix)], names=["doc_id", "_row", "node", "n", "bits", "prefix"])
         give_back()
 
-    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} long, s array<long>")
+    texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, _row long, node long, n long, bits array<long>, prefix array<long>")
 
 
 #: Removed or compared rows up to which their keys (some 20 bytes each) are broadcast.
@@ -323,27 +392,58 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return docs, docs.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 9, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs (doc_id, text, ..) without near-duplicates: of each group the row of the smallest id stays, with its columns.
 
-    Candidates are fingerprints within the radius; a link holds if the texts' sets of shingles have this Jaccard similarity.
+    Each distinct set of shingles is a node; two are linked if their Jaccard similarity is at least `similarity`, and all such
+    links count, directly or by others: sets that are alike share a shingle of their prefixes. Of nodes that share one, only
+    pairs with one hub are verified in the first `ROUNDS` rounds; then all pairs are that verified links don't connect yet.
+    Sizes and parity bits, which bound the similarity from above, leave out pairs that can't be alike.
     """
     docs, keyed = with_row_key(docs)
-    rows = cut(fingerprints(keyed, words, also="_row long"), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
-    known = cut(rows.groupBy("fp").agg(first.alias("m")), "known")
-    near = cut(links(known.select("fp"), radius), "near")
-    ends = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct().join(known, "fp").select("fp", F.col("m._row").alias("_row"))
-    ends = cut(ends, "ends")
     sure = lambda df: F.broadcast(df) if df.count() <= SMALL else df
-    sets = shingle_sets(keyed.select("_row", "text").join(sure(ends.select("_row")), "_row", "left_semi"), words, "_row").join(ends, "_row").select("fp", "s")
-    sets = cut(sets, "sets")
-    a, b = sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), sets.select(F.col("fp").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    held = near.join(a, "a").join(b, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    roots = components(held).withColumnRenamed("node", "fp")
-    placed = known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = cut(prefixes(keyed, words, similarity), "prefixes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
+    known = cut(rows.groupBy("node").agg(first.alias("m"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "known")
+    sent = known.select("node", F.explode("prefix").alias("shingle"))
+    several = sent.groupBy("shingle").count().where("count > 1").select("shingle")
+    shared = cut(sent.join(several, "shingle").select("shingle", "node"), "shared")
+    facts = known.select("node", "n", "bits")
+    end = lambda k: facts.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    differ = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(4)), F.lit(0))
+    possible = (differ <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    links_ = roots = tested = None
+    for step in range(ROUNDS + 1):
+        at = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
+        hub = F.min(F.struct(F.xxhash64("node", "shingle", F.lit(step)).alias("h"), "node", "root")).alias("hub")
+        mixed = at.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub).where("lo <> hi").select("shingle", "hub")
+        at = at.join(mixed, "shingle")
+        if step < ROUNDS:
+            pairs = at.where("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            pairs = pairs.join(end("a"), "a").join(end("b"), "b").where(possible).select("a", "b")
+        else:
+            at = cut(at.select("shingle", "node", "root").join(facts, "node"), "left")
+            a, b = (at.select("shingle", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+            pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible).select("a", "b").distinct()
+        near = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near")
+        if near.isEmpty():
+            continue
+        tested = near if tested is None else tested.unionAll(near)
+        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(known, "node").select("node", F.col("m._row").alias("_row"))
+        ends = cut(ends, "ends")
+        sets = shingle_sets(keyed.select("_row", "text").join(sure(ends.select("_row")), "_row", "left_semi"), words, "_row").join(ends, "_row").select("node", "s")
+        sets = cut(sets, "sets")
+        a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        held = cut(near.join(a, "a").join(b, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "held")
+        if not held.isEmpty():
+            links_ = held if links_ is None else links_.unionAll(held)
+            roots = components(links_)
+    if roots is None:
+        placed = known.withColumn("root", F.col("node"))
+    else:
+        placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = placed.groupBy("root").agg(F.min("m").alias("m")).select("root", F.col("m._row").alias("stays"))
-    of = cut(placed.join(stay, "root").select("fp", "stays"), "of")
-    gone = cut(rows.join(of, "fp").where("_row <> stays").select("_row"), "gone")
+    of = cut(placed.select("node", "root").join(stay, "root").select("node", "stays"), "of")
+    gone = cut(rows.select("node", "_row").join(of, "node").where("_row <> stays").select("_row"), "gone")
     return keyed.join(sure(gone), "_row", "left_anti").select(*docs.columns)
