@@ -3,6 +3,7 @@
 import random
 
 import helpers as H
+from test_simhash import fp
 
 from loomwork.llm import simhash
 
@@ -49,3 +50,11 @@ def test_family_with_false_hubs(spark, tmp_path):
     want = stays(texts)
     assert want == set(range(100))
     assert left(spark, tmp_path, texts) == sorted(want)
+
+
+def test_equal_fingerprints_of_unlike_texts(spark, tmp_path):
+    r = random.Random(2)
+    line = " ".join(f"line{k}" for k in range(9))
+    texts = [" ".join([line] * 60 + [f"own{i}n{r.randrange(10**6)}" for _ in range(120)]) for i in range(6)]
+    assert len({fp(t, 5) for t in texts}) < 6
+    assert left(spark, tmp_path, texts) == list(range(6))
