@@ -58,3 +58,16 @@ def test_equal_fingerprints_of_unlike_texts(spark, tmp_path):
     texts = [" ".join([line] * 60 + [f"own{i}n{r.randrange(10**6)}" for _ in range(120)]) for i in range(6)]
     assert len({fp(t, 5) for t in texts}) < 6
     assert left(spark, tmp_path, texts) == list(range(6))
+
+
+def test_every_pair_above_the_similarity(spark, tmp_path):
+    r = random.Random(5)
+    texts = []
+    for i in range(60):  # one to six edits of texts of 60 to 330 words: similarities about 0.8 and more
+        w = [f"b{i}w{r.randrange(900)}" for _ in range(60 + 45 * (i % 6 + 1))]
+        texts += [" ".join(w), " ".join(other(r, w, 1 + i % 6, f"e{i}"))]
+    s = [shingles(t) for t in texts]
+    pairs = [(i, i + 1) for i in range(0, 120, 2) if len(s[i] & s[i + 1]) >= 0.8 * len(s[i] | s[i + 1])]
+    far = [p for p in pairs if (fp(texts[p[0]], 5) ^ fp(texts[p[1]], 5)).bit_count() > 9]
+    assert len(far) >= 5  # a search within nine bits of the fingerprints finds none of these
+    assert left(spark, tmp_path, texts) == sorted(stays(texts))
