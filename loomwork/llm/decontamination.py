@@ -2,16 +2,19 @@
 
 Words become template tokens: numbers, units after a number, and capitalised words inside a sentence turn into typed
 placeholders, all else is its lower-case letters and digits. Windows of template tokens of the benchmark are kept by hash and
-met with those of the documents; windows with too few words that are no placeholders are left out. Matches of a document and
-an item are lined up by their offset; then the placeholders' values are compared: one value in the item must stand for one
-value in the document all along, else those windows don't count. A document is contaminated by an item if the windows left
-cover enough of the item.
+met with those of the documents; windows with too few words that are no placeholders are left out of these. All windows are
+met by their words and values in lower case, too, so a copy in other case or of numbers and names only is found. Matches of a
+document and an item are lined up by their offset, those at near offsets also together, as words may be put in or left out;
+then the placeholders' values are compared: one value in the item must stand for one value in the document all along, else
+those windows don't count unless they agree to the letter. A document is contaminated by an item if the windows left are enough
+of its windows or hold enough of its tokens (`COVER`), or `RUN` tokens of it in a row.
 
 The benchmark is broadcast in blocks of at most `BLOCK` windows, so its size is bounded whatever its length; there is one pass
 over the documents for each block.
 
-Nulls: null or empty texts hold nothing; null ids stay. Items of fewer than `SHORTEST` tokens are not searched for; shorter
-items than a window are one window. Repeated rows are marked alike; repeated items count once each. Without documents or items
+Nulls: null or empty texts hold nothing; null ids stay. Items no longer than a window are one window, those of fewer than
+`SHORTEST` tokens only to the letter; items up to two windows have shorter windows, so a word changed leaves some on both sides,
+but a window's length of tokens must be found. Repeated rows are marked alike; repeated items count once each. Without documents or items
 nothing is found. Further columns stay.
 """
 
@@ -28,6 +31,10 @@ from loomwork.llm.common import give_back
 
 WINDOW, SHORTEST, LITERALS = 8, 5, 4
 COVER = 0.5
+#: So many tokens of an item in a row are a leak, however long the item is.
+RUN = 30
+#: The shortest windows of items that are longer than one window.
+LEAST = 4
 BLOCK = 1_000_000
 SLICE = 2 << 20
 KNOWN = 50_000
@@ -114,39 +121,72 @@ def windows(shape, size: int):
 
 
 def _index(rows, size: int):
-    """Windows of items, by size: (sorted hashes, item, place); and the items' tokens."""
+    """Windows of items, by size and whether they are to the letter: (sorted hashes, item, place); and the items' tokens."""
     import numpy as np
     import pyarrow as pa
 
     lex, found, items = Lexicon(), defaultdict(list), []
     for k, text in enumerate(rows):
         _, shape, kind, lit = template(pa.array([text or ""]), lex)
-        n = min(size, len(shape))
-        items.append((kind, lit, 0))
-        if len(shape) < SHORTEST:
+        length = len(shape)
+        n = length if length <= size else min(size, max(LEAST, (length - 1) // 2))
+        items.append((kind, lit, frozenset()))
+        if not length:
+            continue
+        w = windows(lit, n)
+        found[n, True] += [(int(w[i]), k, i) for i in range(len(w))]
+        if length < SHORTEST:
             continue
         w = windows(shape, n)
         plain = np.convolve(kind == 0, np.ones(n, dtype=int), "valid")
-        ok = np.flatnonzero(plain >= min(LITERALS, n))
-        items[-1] = (kind, lit, len(ok))
-        found[n] += [(int(w[i]), k, int(i)) for i in ok]
+        ok = np.flatnonzero(plain >= min(LITERALS, n)).tolist()
+        items[-1] = (kind, lit, frozenset(ok))
+        found[n, False] += [(int(w[i]), k, i) for i in ok]
     out = {}
-    for n, f in found.items():
+    for key, f in found.items():
+        if not f:
+            continue
         f.sort()
         h, k, i = (np.array(x, dtype=t) for x, t in zip(zip(*f, strict=True), (np.uint64, np.int64, np.int64), strict=True))
         table = np.zeros(1 << 20, dtype=bool)
         table[(h >> np.uint64(44)).astype(np.int64)] = True
-        out[n] = (h, k, i, table)
+        out[key] = (h, k, i, table)
     return out, items
 
 
+def longest(places) -> int:
+    """The most places in a row."""
+    most = now = 0
+    last = None
+    for q in sorted(places):
+        now = now + 1 if last is not None and q == last + 1 else 1
+        most, last = max(most, now), q
+    return most
+
+
+def judge(item, lit, found, window: int, cover: float, straight: bool) -> tuple[bool, float, int, int]:
+    """Whether windows (place in the document, in the item, size, to the letter) are a leak; coverage, slots, changed values."""
+    kinds, lits, ok = item
+    slots = {(q + j, p + j) for p, q, n, _ in found for j in range(n) if kinds[q + j]}
+    pairs = Counter((int(kinds[q]), int(lits[q]), int(lit[p])) for q, p in slots)
+    to: dict[tuple[int, int], int] = {}
+    for (kd, a, b), _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
+        to.setdefault((kd, a), b)  # the most frequent value
+    wrong = {(q, p) for q, p in slots if to[int(kinds[q]), int(lits[q])] != int(lit[p])}
+    good = [(q, n) for p, q, n, exact in found if exact or not any((q + j, p + j) in wrong for j in range(n))]
+    tokens = {q + j for q, n in good for j in range(n)}
+    share = max(len(ok & {q for q, _ in good}) / len(ok) if ok else 0.0, len(tokens) / len(kinds))
+    leak = len(tokens) >= min(len(kinds), window) and (share >= cover or (straight and len(tokens) >= RUN and longest(tokens) >= RUN))
+    return leak, share, len({q for q, _ in slots}), sum(a != b for (_, a), b in to.items())
+
+
 def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all if not given) with `leaks`: array of (item_id, coverage, slots, changed) of the items that contaminate."""
     keep = [c for c in (keep or docs.columns) if c != "leaks"]
     spark = docs.sparkSession
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     weight = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(weight) // (4 * BLOCK)))  # a window has four characters at least
+    blocks = max(1, -(-int(weight) // (2 * BLOCK)))  # two windows have four characters at least, but for the shortest words
     leak = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("slots", T.LongType()), T.StructField("changed", T.LongType())]))
     out = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])))
     out = out.withColumn("leaks", F.array().cast(leak))
@@ -165,32 +205,33 @@ def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, cover: float =
             def search(texts):
                 """text index -> leaks"""
                 text, shape, kind, lit = template(texts, lex)
-                hits: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
-                for n, (keys, item, place, table) in index.items():
-                    w = windows(shape, n)
+                hits: dict[tuple[int, int], dict[int, dict]] = defaultdict(lambda: defaultdict(dict))
+                for (n, exact), (keys, item, place, table) in index.items():
+                    w = windows(lit if exact else shape, n)
                     at = np.flatnonzero(table[(w >> np.uint64(44)).astype(np.int64)] & (text[: len(w)] == text[n - 1 :])) if len(w) else []
                     if not len(at):
                         continue
                     left, right = np.searchsorted(keys, w[at], "left"), np.searchsorted(keys, w[at], "right")
                     for p, a, b in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
                         for x in range(a, b):
-                            hits[int(text[p]), int(item[x]), p - int(place[x])].append((p, int(place[x]), n))
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for (t, k, shift), found in hits.items():
-                    kinds, lits, total = items_[k]
-                    slots = sorted({q + j for _, q, n in found for j in range(n) if kinds[q + j]})
-                    pairs = Counter((int(kinds[q]), int(lits[q]), int(lit[q + shift])) for q in slots)
-                    to: dict[tuple[int, int], int] = {}
-                    for (kd, a, b), _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
-                        to.setdefault((kd, a), b)  # the most frequent value
-                    wrong = {q for q in slots if to[int(kinds[q]), int(lits[q])] != int(lit[q + shift])}
-                    good = sum(not any(q + j in wrong for j in range(n)) for _, q, n in found)
-                    c = (good / total, len(slots), sum(a != b for (_, a), b in to.items()))
-                    if c > best.get((t, k), (-1.0,)):
-                        best[t, k] = c
+                            q = int(place[x])
+                            same = hits[int(text[p]), int(item[x])][p - q]
+                            same[p, q, n] = exact or same.get((p, q, n), False)
+                best: dict[tuple[int, int], tuple[bool, float, int, int]] = {}
+                for (t, k), shifts in hits.items():
+                    found = {s: [(*x, e) for x, e in f.items()] for s, f in shifts.items()}
+                    best[t, k] = max(judge(items_[k], lit, f, window, cover, True) for f in found.values())
+                    # words put in or left out move what follows: offsets that are near each other together
+                    order, group = sorted(found), []
+                    for s in [*order, None]:
+                        if group and (s is None or s - group[-1] > max(window, len(items_[k][0]) // 2)):
+                            if len(group) > 1:
+                                best[t, k] = max(best[t, k], judge(items_[k], lit, [x for g in group for x in found[g]], window, cover, False))
+                            group = []
+                        group.append(s)
                 out_: dict[int, list] = defaultdict(list)
-                for (t, k), (c, s, ch) in sorted(best.items()):
-                    if c >= cover:
+                for (t, k), (leak, c, s, ch) in sorted(best.items()):
+                    if leak:
                         out_[t].append({"item_id": ids[k], "coverage": round(c, 6), "slots": s, "changed": ch})
                 return out_
 

@@ -42,3 +42,30 @@ def test_clean_keeps_columns_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 100)
     assert D.clean(d, bench(spark, items)).count() == len(H.ODD)
     assert D.find(d, bench(spark, [])).count() == 0 and D.find(H.docs(spark, []), bench(spark, items)).count() == 0
+
+
+LONG_ITEM = " ".join(f"{a}{b}" for a in ("stone", "river", "cloud", "grass", "metal", "paper") for b in ("ing", "ed", "ful", "ness", "ly", "er", "ish", "less", "able", "y"))[:-8].rstrip()
+
+
+def found(spark, text, item):
+    return D.find(H.docs(spark, [(1, f"some words before it , {text} , and others after it", "en", "s", "c")]), bench(spark, [(7, item)])).count() == 1
+
+
+def test_partial_moved_and_changed_items(spark):
+    w = LONG_ITEM.split()
+    assert len(w) == 59
+    assert found(spark, " ".join(w[10:40]), LONG_ITEM)  # 30 of 59 words
+    assert not found(spark, " ".join(w[10:30]), LONG_ITEM)
+    long = " ".join([*w, *(f"more{x}" for x in "abcdefghijklmnopqrstuvwxyz"), *(f"also{x}" for x in "abcdefghijklmnopqrstuvwxyz")])
+    assert found(spark, " ".join(w[10:45]), long)  # a run of 35 words in a row
+    thirty = w[:30]
+    assert found(spark, " ".join([*thirty[:9], "put", *thirty[9:18], "in", *thirty[18:26]]), " ".join(thirty))
+    for n in (9, 15, 22):
+        changed = [*w[: n // 2], "other", *w[n // 2 + 1 : n]]
+        assert found(spark, " ".join(changed), " ".join(w[:n])), n
+
+
+def test_items_of_numbers_and_names_and_short_ones(spark):
+    for item in ("12 17 29 34 41 58 63 77 85 96", "so Anna Berta Carla Dora Emma Frida Greta Hanna Ida Jana", "three grey boxes"):
+        assert found(spark, item, item) and found(spark, item.upper(), item)
+    assert not found(spark, "12 17 29 30 31 32 33 34 35 36", "12 17 29 34 41 58 63 77 85 96") and not found(spark, "three red boxes", "three grey boxes")
