@@ -18,7 +18,7 @@ import re
 from itertools import combinations
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import cut, give_back
@@ -406,8 +406,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
     known = cut(rows.groupBy("node").agg(first.alias("m"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "known")
     sent = known.select("node", F.explode("prefix").alias("shingle"))
-    several = sent.groupBy("shingle").count().where("count > 1").select("shingle")
-    shared = cut(sent.join(several, "shingle").select("shingle", "node"), "shared")
+    several = F.count("*").over(Window.partitionBy("shingle"))
+    shared = cut(sent.withColumn("several", several).where("several > 1").select("shingle", "node"), "shared")
     facts = known.select("node", "n", "bits")
     end = lambda k: facts.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     differ = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(4)), F.lit(0))
@@ -415,27 +415,28 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     links_ = roots = tested = None
     for step in range(ROUNDS + 1):
         at = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
-        hub = F.min(F.struct(F.xxhash64("node", "shingle", F.lit(step)).alias("h"), "node", "root")).alias("hub")
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "root")).alias("hub")
         mixed = at.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub).where("lo <> hi").select("shingle", "hub")
         at = at.join(mixed, "shingle")
         if step < ROUNDS:
-            pairs = at.where("root <> hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            pairs = at.where("root <> hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
             pairs = pairs.join(end("a"), "a").join(end("b"), "b").where(possible).select("a", "b")
         else:
             at = cut(at.select("shingle", "node", "root").join(facts, "node"), "left")
             a, b = (at.select("shingle", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
             pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible).select("a", "b").distinct()
-        near = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near")
+        near = cut(pairs if tested is None else pairs.join(tested.unionAll(tested.select("b", "a")), ["a", "b"], "left_anti"), "near")
         if near.isEmpty():
             continue
         tested = near if tested is None else tested.unionAll(near)
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(known, "node").select("node", F.col("m._row").alias("_row"))
         ends = cut(ends, "ends")
-        sets = shingle_sets(keyed.select("_row", "text").join(sure(ends.select("_row")), "_row", "left_semi"), words, "_row").join(ends, "_row").select("node", "s")
-        sets = cut(sets, "sets")
-        a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        sets = cut(shingle_sets(keyed.select("_row", "text").join(sure(ends), "_row"), words, "node"), "sets")
+        # sets go over the network once for each pair, and once for each hub
+        a = sets.join(sure(near.select(F.col("a").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("a"), F.col("s").alias("sa"))
+        b = sets.join(sure(near.withColumnRenamed("b", "node")), "node").select("a", F.col("node").alias("b"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        held = cut(near.join(a, "a").join(b, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "held")
+        held = cut(b.join(a, "a").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "held")
         if not held.isEmpty():
             links_ = held if links_ is None else links_.unionAll(held)
             roots = components(links_)
