@@ -338,7 +338,7 @@ def frequent(keyed: DataFrame, words: int) -> list[tuple[int, int]]:
 
 
 def prefixes(keyed: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, _row, node (hash of the set of shingles), n (its size), bits (256, each the parity of its shingles), prefix.
+    """doc_id, _row, node (hash of the set of shingles), n (its size), bits and fine (256 and 2048, each the parity of its shingles), prefix.
 
     Shingles have one order, rare ones first. Two sets of at least this Jaccard similarity have as many shingles in common as
     the ceiling of similarity * n of either, so their first n - ceil(similarity * n) + 1 shingles have one in common.
@@ -354,7 +354,7 @@ def prefixes(keyed: DataFrame, words: int, similarity: float) -> DataFrame:
         known = np.array([x for x, _ in sent.value] or [0], dtype=np.uint64)
         count = np.array([k for _, k in sent.value] or [0], dtype=np.int64)
         for b in batches:
-            node, size, bits, prefix = [], [], [], []
+            node, size, bits, fine, prefix = [], [], [], [], []
             for t in b.column(2).cast(pa.binary()):
                 s = shingles(t.as_py() or b"", words)
                 n = len(s)
@@ -369,12 +369,14 @@ def prefixes(keyed: DataFrame, words: int, similarity: float) -> DataFrame:
                 size.append(n)
                 parity = (np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
                 bits.append(np.packbits(parity).view(np.uint64))
+                parity = (np.bincount((s & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8)
+                fine.append(np.packbits(parity).view(np.uint64))
             ids = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, pa.array(size, pa.int64()), _lists(bits), _lists(prefix)], names=["doc_id", "_row", "node", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, pa.array(size, pa.int64()), _lists(bits), _lists(fine), _lists(prefix)], names=["doc_id", "_row", "node", "n", "bits", "fine", "prefix"])
         give_back()
 
     texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_row", F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, _row long, node long, n long, bits array<long>, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, _row long, node long, n long, bits array<long>, fine array<long>, prefix array<long>")
 
 
 #: Removed or compared rows up to which their keys (some 20 bytes each) are broadcast.
@@ -404,14 +406,16 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     sure = lambda df: F.broadcast(df) if df.count() <= SMALL else df
     rows = cut(prefixes(keyed, words, similarity), "prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))
-    known = cut(rows.groupBy("node").agg(first.alias("m"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "known")
+    known = cut(rows.groupBy("node").agg(first.alias("m"), *(F.first(c).alias(c) for c in ("n", "bits", "fine", "prefix"))), "known")
     sent = known.select("node", F.explode("prefix").alias("shingle"))
     several = F.count("*").over(Window.partitionBy("shingle"))
     shared = cut(sent.withColumn("several", several).where("several > 1").select("shingle", "node"), "shared")
     facts = known.select("node", "n", "bits")
     end = lambda k: facts.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
-    differ = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(4)), F.lit(0))
-    possible = (differ <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    finer = lambda k: known.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"fine{k}"))
+    differ = lambda c, longs: sum((F.bit_count(F.col(f"{c}a")[k].bitwiseXOR(F.col(f"{c}b")[k])) for k in range(longs)), F.lit(0))
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6  # shingles that only one of two alike sets has
+    possible = (differ("bits", 4) <= most) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
     links_ = roots = tested = None
     for step in range(ROUNDS + 1):
         at = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
@@ -425,6 +429,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             at = cut(at.select("shingle", "node", "root").join(facts, "node"), "left")
             a, b = (at.select("shingle", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
             pairs = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible).select("a", "b").distinct()
+        pairs = pairs.join(finer("a"), "a").join(finer("b").drop("n"), "b").where(differ("fine", 32) <= most).select("a", "b")
         near = cut(pairs if tested is None else pairs.join(tested.unionAll(tested.select("b", "a")), ["a", "b"], "left_anti"), "near")
         if near.isEmpty():
             continue
