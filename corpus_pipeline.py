@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontamination, langid, packing, pii, simhash
+from loomwork.llm import decontamination, langid, near_copies, packing, pii
 from loomwork.llm.common import cut
 from loomwork.session import ship
 
@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     ship(spark)
-    return simhash.one_of_each(docs, words=5, similarity=0.8)
+    return near_copies.one_of_each(docs, words=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,12 @@ _own: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of this process where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); on a local master a temporary one of this process where that is unset."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="loomwork-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -52,6 +54,14 @@ def cut(df: DataFrame, name: str = "t", codec: str = "snappy", **options) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns, name: str) -> str:
+    """A column's name that none of `columns` has, in any case."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

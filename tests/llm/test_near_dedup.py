@@ -5,7 +5,7 @@ import random
 import helpers as H
 from test_simhash import fp
 
-from loomwork.llm import simhash
+from loomwork.llm import near_copies
 
 
 def shingles(t, k=5):
@@ -32,7 +32,7 @@ def stays(texts):
 
 def left(spark, tmp_path, texts):
     path = H.save(spark, tmp_path, [(i, t, "en", "s", "c") for i, t in enumerate(texts)])
-    return sorted(r["doc_id"] for r in simhash.one_of_each(spark.read.parquet(f"{path}/documents.parquet")).collect())
+    return sorted(r["doc_id"] for r in near_copies.one_of_each(spark.read.parquet(f"{path}/documents.parquet")).collect())
 
 
 def other(r, w, n, tag):

@@ -5,7 +5,6 @@ import corpus_pipeline as C
 import helpers as H
 import pytest
 import test_pii
-from test_simhash import fp
 
 ITEM = "what is the total weight of nine grey boxes when every box holds four red stones and two blue ones"
 
@@ -17,7 +16,7 @@ def shingles(t, k=5):
 
 def alike(a, b):
     x, y = shingles(a), shingles(b)
-    return len(x & y) >= 0.8 * len(x | y) and (fp(a, 5) ^ fp(b, 5)).bit_count() <= 9
+    return len(x & y) >= 0.8 * len(x | y)
 
 
 @pytest.fixture(scope="module")
