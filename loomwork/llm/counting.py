@@ -3,7 +3,8 @@
 A leaf holds up to LEAF pre-tokens: its characters and tokens; an inner node holds its children's sums. An edit
 (start, end, replacement; code points) descends to the leaves it touches, goes back to a pre-token border that the edit can't
 reach, splits and encodes from there until a border of the old text is met again, and puts the new leaves in place of the old
-ones with the sums above them. A pre-token depends on its own characters and on two that follow, which is the context kept.
+ones with the sums above them. A pre-token depends on its own characters and on as
+many that follow as the longest added token has, as one may begin there; that is the context kept.
 
 Nulls: a null text counts as empty (no tokens). Edits of a null document id or of unknown documents have no effect; bounds are
 clipped to the text; edits of a document apply in the order of `seq` and then of their fields, each to the text that the one
@@ -18,9 +19,6 @@ from pyspark.sql import functions as F
 from loomwork.llm.tokens import default_path, encoder
 
 LEAF = 64
-#: Characters after a pre-token that can have a say in where it ends.
-CONTEXT = 2
-
 TREE = "leaf_chars array<int>, leaf_tokens array<int>"
 
 
@@ -77,9 +75,9 @@ class Tree:
             self.text = text
             self._build(*self._leaves(self.enc.split(text)))
             return
-        first, a = self.find(max(0, start - CONTEXT - 1))
+        first, a = self.find(max(0, start - self.enc.context - 1))
         # back to a leaf's start that the edit can't reach: leaves start at pre-token borders
-        while first and a + CONTEXT > start:
+        while first and a + self.enc.context > start:
             first -= 1
             a -= self.chars[self.width + first]
         last, b = self.find(min(end, size - 1))
@@ -88,7 +86,7 @@ class Tree:
         # borders of the old text behind the edit, a leaf's end each time, until the new text has one there too
         words: list[str] = []
         while True:
-            words = self.enc.split(text[a : b + delta + CONTEXT + 1] if b < size else text[a:])
+            words = self.enc.split(text[a : b + delta + self.enc.context + 1] if b < size else text[a:])
             if b >= size:
                 break
             at, k, need = a, 0, b + delta

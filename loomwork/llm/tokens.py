@@ -1,7 +1,8 @@
 """Byte-level BPE through the tokenizers library, with the ids of pre-tokens kept in a bounded cache.
 
 A byte-level BPE never merges over a pre-token's border, so a text's ids are its pre-tokens' ids in a row. Texts with
-characters on which regular expression engines may disagree go to the library whole.
+characters on which regular expression engines may disagree go to the library whole, and so do texts that hold the string of an
+added token: the library makes one id of it, unless `added` is False, which takes such strings for ordinary text.
 """
 
 from __future__ import annotations
@@ -61,13 +62,17 @@ class Kept(dict):
 class Encoder:
     """Ids as bytes: unsigned 32-bit little-endian."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = True):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings inside a text are ordinary text
-        self.split = regex.compile(PRETOKEN).findall
+        self.tok.encode_special_tokens = not added
+        self.added = {t.content: k for k, t in self.tok.get_added_tokens_decoder().items()} if added else {}
+        #: Characters after a pre-token that can have a say in where it ends.
+        self.context = max([2, *(len(x) + 1 for x in self.added)])
+        self.mark = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.words = regex.compile(PRETOKEN).findall
         self.unsure = regex.compile(UNSURE).search
         self.merge, self.char = self.tok.model.tokenize, byte_characters()
         self.blank = self.char[32]
@@ -75,6 +80,8 @@ class Encoder:
         self.after_blank = Kept(self._after_blank)
 
     def _merged(self, pretoken: str) -> bytes:
+        if pretoken in self.added:
+            return array("I", [self.added[pretoken]]).tobytes()
         return array("I", map(_id, self.merge(pretoken.encode().decode("latin-1").translate(self.char)))).tobytes()
 
     def _after_blank(self, word: str) -> bytes:
@@ -85,29 +92,36 @@ class Encoder:
             return self._merged(" " + word)
         if word[-1:] in _MARKS and word[:-1].isalpha():
             return self.after_blank[word[:-1]] + self.pre[word[-1]]
-        return b"".join(map(self.pre.__getitem__, self.split(" " + word)))
+        return b"".join(map(self.pre.__getitem__, self.words(" " + word)))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.unsure(text):
+        if self.unsure(text) or (self.mark and self.mark.search(text)):
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         if "  " in text:
-            return b"".join(self.each(self.split(text)))
+            return b"".join(self.each(self.words(text)))
         # every blank stands alone and so starts a pre-token: what lies between two blanks has ids of its own
         head, *words = text.split(" ")
-        return b"".join(self.each(self.split(head))) + b"".join(map(self.after_blank.__getitem__, words))
+        return b"".join(self.each(self.words(head))) + b"".join(map(self.after_blank.__getitem__, words))
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens, added tokens among them; no other reaches over one."""
+        if not self.mark or not self.mark.search(text):
+            return self.words(text)
+        parts = self.mark.split(text)
+        return [w for k, x in enumerate(parts) for w in ([x] if k % 2 else self.words(x))]
 
     def each(self, words: list[str]) -> list[bytes]:
         """The ids of each pre-token."""
         return list(map(self.pre.__getitem__, words))
 
 
-_kept: dict[str, Encoder] = {}
+_kept: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = True) -> Encoder:
     """One for each worker process and vocabulary."""
-    if path not in _kept:
-        _kept[path] = Encoder(path)
-    return _kept[path]
+    if (path, added) not in _kept:
+        _kept[path, added] = Encoder(path, added)
+    return _kept[path, added]

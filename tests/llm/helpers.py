@@ -38,7 +38,6 @@ def encode(text):
 
     if not hasattr(encode, "t"):
         encode.t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        encode.t.encode_special_tokens = True
     return encode.t.encode(text or "", add_special_tokens=False).ids
 
 

@@ -123,3 +123,25 @@ def test_edits_table_and_stored_trees(spark):
     assert got[1]["n_edited"] == len(H.encode("A dog'scat"[: len("A dog's") + 0] + "the c"[3:]))
     assert got[6]["n_edited"] == len(H.encode("gone")) and got[3]["n_edited"] == len(H.encode("new"))
     assert got[2]["n_edited"] == got[2]["n_tokens"] and got[2]["n_encoded"] == 0
+
+
+def test_added_tokens_as_the_library_has_them(spark):
+    import random
+
+    from loomwork.llm.tokens import Encoder, default_path
+
+    enc, plain = Encoder(default_path()), Encoder(default_path(), added=False)
+    ids = lambda b: np.frombuffer(b, dtype="<u4").tolist()
+    r = random.Random(9)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", "<", "|", " ", "  ", "\n", "a", " word", "it's", "12"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(600)]
+    for t in texts:
+        assert ids(enc.ids(t)) == H.encode(t) == ids(b"".join(enc.each(enc.split(t))))
+    assert len(ids(enc.ids("a<|endoftext|>b"))) == 3 and len(ids(plain.ids("a<|endoftext|>b"))) > 3
+    for t in texts:  # edits that make and break added tokens
+        long = ("filler words " * r.randrange(40)) + t + (" more words" * r.randrange(40))
+        tree = counting.Tree(long, default_path(), leaf=3)
+        for _ in range(3):
+            a = r.randrange(len(tree.text) + 1)
+            tree.edit(a, min(len(tree.text), a + r.randrange(6)), r.choice(bits))
+            assert tree.total == len(H.encode(tree.text))
