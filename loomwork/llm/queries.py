@@ -78,11 +78,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
     got = chat.conversations(chat.chain(rows)).select(F.col("tree").alias("conv_id"), "formatted", "mask").withColumn("turns", chat.read_back(F.col("formatted")))
-    # the mask's spans are as long as the assistants' turns, in order: what is under it are these turns' texts
-    masked = F.transform("mask", lambda x: x["stop"] - x["start"])
-    learnt = F.filter("turns", lambda x: x["role"] == chat.ASSISTANT)
-    loss = F.array_join(F.transform(learnt, lambda x: x["text"]), "")
-    got = got.withColumns({"loss": F.when(masked == F.transform(learnt, lambda x: x["chars"]), loss), "all": F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")})
+    loss = F.array_join(chat.under(F.col("formatted"), F.col("mask")), "")
+    got = got.withColumns({"loss": loss, "all": F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")})
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return got.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha("all").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha("loss").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

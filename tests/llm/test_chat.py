@@ -65,3 +65,45 @@ def test_sql_twin(spark):
     names = [d[0] for d in got.description]
     assert sorted(names) == sorted(rows.columns)
     assert sorted(tuple(r[n] for n in names) for r in rows.collect()) == sorted(got.fetchall())
+
+
+def test_loss_comes_from_the_mask(spark):
+    F = chat.F
+    m = spark.createDataFrame([("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "a<b", 1.0), ("t", 3, 2, "user", "xyz", 1.0)], "tree string, node long, parent long, role string, text string, score double")
+    got = chat.conversations(m)
+    moved = F.transform("mask", lambda x: F.struct((x["start"] + 1).alias("start"), (x["stop"] + 1).alias("stop")))
+    r = got.select(chat.under(F.col("formatted"), F.col("mask")).alias("right"), chat.under(F.col("formatted"), moved).alias("wrong")).first()
+    assert r["right"] == ["a<b"] and r["wrong"] != r["right"]
+
+
+def test_branches_and_cycles_against_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for t in range(12):
+        for n in range(r.randrange(1, 40)):  # some parents come later, so there are cycles
+            rows.append((t, n, r.choice([None, *range(max(1, n)), *range(max(1, n)), r.randrange(45)]), "assistant", f"{t}.{n}", r.choice([None, 1.0, 2.0, 5.0])))
+    rows += [(90, 0, 1, "user", "c", 1.0), (90, 1, 0, "user", "c", 1.0), *[(90, 2 + i, i % 2, "user", "hangs", 1.0) for i in range(300)]]
+    rows += [(91, i, i - 1 if i else None, "user", str(i), 1.0) for i in range(70)]
+    of = {(t, n): (p if (t, p) in {(x[0], x[1]) for x in rows} else None, s) for t, n, p, _, _, s in rows}
+    parents = {(t, p) for (t, _), (p, _) in of.items()}
+    want = {}
+    for t, n in of:
+        if (t, n) in parents:
+            continue
+        way, at = [], n
+        while at is not None and at not in way:
+            way.append(at)
+            at = of[t, at][0]
+        if at is None:
+            s = [of[t, x][1] for x in way if of[t, x][1] is not None]
+            want[t, n] = (way[::-1], sum(s) / len(s) if s else None)
+    m = spark.createDataFrame([(*x, "clash") for x in rows], "tree long, node long, parent long, role string, text string, score double, formatted string")
+    got = {(x["tree"], x["leaf"]): x for x in chat.conversations(m, best=None).select("*", chat.read_back(chat.F.col("formatted")).alias("turns")).collect()}
+    assert set(got) == set(want) and len(want) > 12
+    for k, (way, score) in want.items():
+        assert [x["text"] for x in got[k]["turns"]] == [f"{k[0]}.{n}" if k[0] < 90 else str(n) for n in way]
+        assert (got[k]["score"] is None) == (score is None) and (score is None or abs(got[k]["score"] - score) < 1e-12)
+    first = {x["tree"]: x["leaf"] for x in chat.conversations(m).collect()}
+    assert first == {t: min((k for k in want if k[0] == t), key=lambda k: (want[k][1] is None, -(want[k][1] or 0), k[1]))[1] for t in {k[0] for k in want}}
