@@ -13,9 +13,11 @@ The benchmark is broadcast in blocks of at most `BLOCK` windows, so its size is
 over the documents for each block.
 
 Nulls: null or empty texts hold nothing; null ids stay. Items no longer than a window are one window, those of fewer than
-`SHORTEST` tokens only to the letter; items up to two windows have shorter windows, so a word changed leaves some on both sides,
-but a window's length of tokens must be found. Repeated rows are marked alike; repeated items count once each. Without documents or items
-nothing is found. Further columns stay.
+`SHORTEST` tokens, or of placeholders with fewer than `PLAIN` other words, are found only to the letter, as their template says
+too little; items whose windows all have too few words are met by their whole template. Items up to two windows have shorter
+windows, so a word changed leaves some on both sides, but a window's length of tokens must be found. Texts of any length are read
+whole. Ties between values that a slot might stand for go to the smaller hash. Repeated rows are marked alike; repeated items
+count once each. Without documents or items nothing is found. Further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import give_back
+from loomwork.llm.common import fresh, give_back
 
 WINDOW, SHORTEST, LITERALS = 8, 5, 4
+#: Words that are no placeholders, of an item whose windows have too few of them, from which its whole template is searched for.
+PLAIN = 2
 COVER = 0.5
 #: So many tokens of an item in a row are a leak, however long the item is.
 RUN = 30
@@ -40,6 +44,8 @@ SLICE = 2 << 20
 KNOWN = 50_000
 #: Units that become placeholders after a number.
 UNITS = frozenset("mm cm m km in inch inches ft feet foot yd yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent % degree degrees mph kmh kph watt watts kw volt volts joule joules newton newtons pound pounds gram grams kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres".split())
+#: Words that often begin a question or sentence and are no names, wherever they stand.
+OPENERS = frozenset("a an the this that these those what which who whom whose when where why how if is are was were do does did can could will would should has have had in on at for from by of to and or but after before during each every find solve given suppose let consider compute calculate there it he she they we you".split())
 NUM, UNIT, NAME = 1, 2, 3
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?$")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
@@ -68,7 +74,7 @@ class Lexicon:
         else:
             flags |= 2 * (low in UNITS)
             low = _INNER.sub("", low)
-            if len(core) > 1 and core[0].isupper() and core[1:].islower():
+            if len(core) > 1 and core[0].isupper() and core[1:].islower() and low not in OPENERS:
                 flags |= 4
         if not low:
             flags |= 16
@@ -140,12 +146,13 @@ def _index(rows, size: int):
         w = windows(shape, n)
         plain = np.convolve(kind == 0, np.ones(n, dtype=int), "valid")
         ok = np.flatnonzero(plain >= min(LITERALS, n)).tolist()
+        if not ok and (kind == 0).sum() >= PLAIN:  # numbers and names mostly: the whole item is one window
+            n, w, ok = length, windows(shape, length), [0]
         items[-1] = (kind, lit, frozenset(ok))
-        found[n, False] += [(int(w[i]), k, i) for i in ok]
+        if ok:
+            found[n, False] += [(int(w[i]), k, i) for i in ok]
     out = {}
     for key, f in found.items():
-        if not f:
-            continue
         f.sort()
         h, k, i = (np.array(x, dtype=t) for x, t in zip(zip(*f, strict=True), (np.uint64, np.int64, np.int64), strict=True))
         table = np.zeros(1 << 20, dtype=bool)
@@ -181,15 +188,19 @@ def judge(item, lit, found, window: int, cover: float, straight: bool) -> tuple[
 
 
 def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all if not given) with `leaks`: array of (item_id, coverage, slots, changed) of the items that contaminate."""
-    keep = [c for c in (keep or docs.columns) if c != "leaks"]
+    """The columns `keep` of docs (all if not given) and the items that contaminate: array of (item_id, coverage, slots, changed).
+
+    That column is the last one; its name is `leaks`, or if docs have that already, with underscores after it.
+    """
+    keep = keep or docs.columns
+    leaks_ = fresh(docs.columns, "leaks")
     spark = docs.sparkSession
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     weight = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(weight) // (2 * BLOCK)))  # two windows have four characters at least, but for the shortest words
     leak = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("slots", T.LongType()), T.StructField("changed", T.LongType())]))
     out = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])))
-    out = out.withColumn("leaks", F.array().cast(leak))
+    out = out.withColumn(leaks_, F.array().cast(leak))
     for part in range(blocks):
         rows = sorted(items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == part).collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
         sent = spark.sparkContext.broadcast((*_index([r["text"] for r in rows], window), [r["item_id"] for r in rows]))
@@ -237,19 +248,19 @@ def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, cover: float =
 
             for b in batches:
                 texts = b.column(names.index(text_col))
-                leaks = b.column(names.index("leaks")).to_pylist()
+                leaks = b.column(names.index(leaks_)).to_pylist()
                 size, i = texts.nbytes // max(len(texts), 1) + 1, 0
                 step = max(1, SLICE // size)
                 while i < len(texts):
                     for t, found in search(texts.slice(i, step)).items():
                         leaks[i + t] = leaks[i + t] + found
                     i += step
-                cols = [b.column(k) if c != "leaks" else pa.array(leaks, b.schema.field(k).type) for k, c in enumerate(names)]
+                cols = [b.column(k) if c != leaks_ else pa.array(leaks, b.schema.field(k).type) for k, c in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
             give_back()
 
         out = out.mapInArrow(run, schema)
-    return out.select(*(F.col(f"`{c}`") for c in keep), "leaks")
+    return out.select(*(F.col(f"`{c}`") for c in keep), leaks_)
 
 
 def find(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
@@ -260,4 +271,5 @@ def find(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
 
 def clean(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
     """The documents that no item contaminates, with their columns."""
-    return mark(docs, bench, **how).where(F.size("leaks") == 0).select(*(F.col(f"`{c}`") for c in docs.columns if c != "leaks"))
+    got = mark(docs, bench, **how)
+    return got.where(F.size(got.columns[-1]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
