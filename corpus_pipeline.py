@@ -17,7 +17,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that look like one of the languages learned; texts without letters or like none of them go."""
     ship(spark)
     model = langid.train(docs, langid.F.lit(True))
-    return langid.predict(docs, model).where("not rejected").select(*docs.columns)
+    got = langid.predict(docs, model)
+    return got.where(~langid.F.col(got.columns[-1])).select(*(langid.F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

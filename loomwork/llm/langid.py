@@ -5,28 +5,33 @@ language and kept in arrays sorted by the n-grams' 64-bit hashes, with one colum
 one of least cross-entropy for each character. It is rejected (column `rejected`) if that cross-entropy lies above what texts
 of the language held back from the fit have, by a margin that widens for short texts.
 
-The models are fitted on a bounded sample: about `sample` texts for each language, taken by a hash of the id, at most
-`longest` characters of each. Predictions read whole texts.
+The models are fitted on a bounded sample: about `sample` texts for each language, taken by a hash of the id; of texts longer
+than `longest` characters windows from all parts, by a hash, so many characters together. Every value of lang is learned.
+Predictions read whole texts. Languages with fewer than `ENOUGH` texts held back are judged by those of all languages, and where
+these are too few, too, by what a text of random letters would have.
 
 Nulls: a null text, or one without a letter, is `und` with score 0 and rejected. Rows of a null language are not learned from;
 a null id is learned from or not as the empty text's checksum says. If no language can be learned, all is `und`. Repeated rows
-are all returned; equal cross-entropies go to the language that sorts first. Further columns are ignored.
+are all returned; equal cross-entropies go to the language that sorts first. Further columns stay; where they have the name of
+a column that `predict` adds, the new one has underscores after it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomwork.llm.common import give_back
+from loomwork.llm.common import fresh, give_back
 
 ORDER = 4
 SAMPLE = 1200
 LONGEST = 20_000
-#: A model has the most frequent languages, so many at most.
-LANGUAGES = 200
+#: Characters of a window of a text that is longer than `longest`.
+PIECE = 2000
 #: Nats for each character above a language's own mean, and standard errors, from which a text is rejected.
 MARGIN, ERRORS = 1.0, 4.0
+ENOUGH = 5
 CHUNK = 1 << 18
 ROWS = 500
 _M = 0x9E3779B97F4A7C15
@@ -51,6 +56,17 @@ def normal(text: str | None) -> str:
     return s if any(map(str.isalpha, s)) else ""
 
 
+def windows(text: str, longest: int) -> str:
+    """The text, or windows from each of its parts, placed by a hash, of `longest` characters together."""
+    from xxhash import xxh64_intdigest
+
+    if len(text) <= longest:
+        return text
+    many = max(1, longest // PIECE)
+    part, size = len(text) // many, longest // many
+    return " ".join(text[a : a + size] for i in range(many) for a in [i * part + xxh64_intdigest(f"{i} {len(text)}") % (part - size + 1)])
+
+
 def grams(codes, order: int = ORDER):
     """Hashes of the 1- to order-grams that end at each place; the first order - 1 places are not to be used."""
     import numpy as np
@@ -148,6 +164,7 @@ class Model:
             m.keys[k], m.logp[k], m.ctx[k], m.back[k] = keys, np.log(p), ctx, np.log(back)
             below, below_keys = p, keys
         m.floor = np.log(m.floor)
+        m.mean, m.sd = np.zeros(n_lang), np.zeros(n_lang)
         return m
 
     def logs(self, g, i):
@@ -218,7 +235,7 @@ def train(docs: DataFrame, learn, sample: int = SAMPLE, longest: int = LONGEST,
     import numpy as np
 
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    many = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    many = rows.groupBy("lang").count().collect()  # a row for each language
     if not many:
         return None
     langs = sorted(r["lang"] for r in many)
@@ -236,7 +253,7 @@ def train(docs: DataFrame, learn, sample: int = SAMPLE, longest: int = LONGEST,
         for b in batches:
             by: dict[int, list[str]] = {}
             for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if s := normal(t[:longest]):
+                if s := normal(windows(t, longest)):
                     by.setdefault(index[x], []).append(s)
             for x, texts in by.items():
                 codes, starts, _ = codes_of(texts)
@@ -272,23 +289,31 @@ def train(docs: DataFrame, learn, sample: int = SAMPLE, longest: int = LONGEST,
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(ce[np.arange(len(x)), x]), pa.array(size)], names=["lang", "ce", "size"])
 
     kept = taken.where("held").select("lang", "text").mapInArrow(held, "lang long, ce double, size long").toArrow().to_pydict()
-    m.mean, m.sd = np.full(len(langs), np.nan), np.full(len(langs), np.nan)
+    x, ce, n = (np.array(kept[c], dtype=np.float64) for c in ("lang", "ce", "size"))
+
+    def usual(own):
+        mean = np.median(ce[own])
+        return mean, np.median(np.abs(ce[own] - mean) * np.sqrt(n[own])) * 1.4826
+
+    all_ = usual(np.ones(len(x), dtype=bool)) if len(x) >= ENOUGH else None
     for i in range(len(langs)):
-        own = [(c, n) for x, c, n in zip(kept["lang"], kept["ce"], kept["size"], strict=True) if x == i]
-        if len(own) >= 5:
-            ce, n = np.array(own).T
-            m.mean[i] = np.median(ce)
-            m.sd[i] = np.median(np.abs(ce - m.mean[i]) * np.sqrt(n)) * 1.4826
+        own = x == i
+        # else a text worse than random letters is rejected
+        m.mean[i], m.sd[i] = usual(own) if own.sum() >= ENOUGH else all_ or (-m.floor[i] - MARGIN, 0.0)
     return m
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred, score, cross_entropy and rejected."""
+    """All columns of docs, and lang_pred, score, cross_entropy and rejected as the last four."""
+    added = []
+    for name in ("lang_pred", "score", "cross_entropy", "rejected"):
+        added.append(fresh([*docs.columns, *added], name))
     if model is None or not model.langs:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the bounded sample makes it
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("lang_pred", "score", "cross_entropy", "rejected"))
-    names = [f.name for f in docs.schema.fields if f.name not in ("lang_pred", "score", "cross_entropy", "rejected")]
+        return docs.withColumns(dict(zip(added, (F.lit("und"), F.lit(0.0), F.lit(None).cast("double"), F.lit(True)), strict=True)))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the bounded sample of each language makes it
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))])
+    names = docs.columns
 
     def run(batches):
         import numpy as np
@@ -304,12 +329,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 best = ce.argmin(axis=1)
                 low = ce[np.arange(len(best)), best]
                 soft = np.exp(-np.clip((ce - low[:, None]) * np.minimum(size, 40)[:, None], 0, 700))
-                mean = np.where(np.isnan(m.mean[best]), np.inf, m.mean[best])
-                above = low > mean + MARGIN + ERRORS * np.nan_to_num(m.sd[best]) / np.sqrt(size)
+                above = low > m.mean[best] + MARGIN + ERRORS * m.sd[best] / np.sqrt(size)
                 for k, i in enumerate(keep):
                     pred[i] = m.langs[best[k]]
                 score[keep], ent[keep], rej[keep] = 1 / soft.sum(axis=1), low, above
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(pred), pa.array(score), pa.array(ent, mask=np.isnan(ent)), pa.array(rej)], names=[*names, "lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(pred), pa.array(score), pa.array(ent, mask=np.isnan(ent)), pa.array(rej)], names=[*names, *added])
         give_back()
 
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema + ", lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.mapInArrow(run, schema)
