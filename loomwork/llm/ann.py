@@ -1,14 +1,17 @@
 """Nearest neighbours by multi-index hashing over learned binary codes.
 
 Codes: the vectors' principal axes, rotated several times so that signs lose least (iterative quantisation, each rotation from
-its own start), give `rotations` x dimension bits. A code is split into 64-bit substrings, each with an index of the values
-that occur. Two codes within radius r differ in at most t_j bits of some substring j if sum(t_j + 1) > r, so probing each
-index within t_j retrieves every code within r; a query's radius starts from what the fit suggests and grows until enough
-codes lie within it. Those are ranked by inner products of the original vectors in double precision.
+its own start), give `rotations` x dimension bits. A code is split into 16-bit substrings, each with a table from every value to
+the codes that have it. Two codes within radius r differ in at most t_j bits of some substring j if sum(t_j + 1) > r, so looking
+up all values within t_j of the query's in each table retrieves every code within r; a query's radius starts from what the last
+one needed and grows until `enough` codes of the block lie within it. Those are ranked by inner products of the original vectors
+in double precision. How many codes a probe touches depends on the radius: few where neighbours are near, most where they are
+nearly as far as random vectors, as no table of substrings tells such apart.
 
 Equal vectors are one entry with its smallest k + 1 ids, which is all that any answer can hold of them. Entries are dealt at
-random to blocks and queries to blocks of their own; each block of entries builds its index and answers all query blocks, and a
-query's best are merged by its key. Every row is indexed; only the rotations are fitted on a sample of at most `SAMPLE` rows.
+random to blocks of 65,536 and queries to blocks of their own. Each block of entries meets each block of queries once and builds
+its tables there, some thousandths of what its queries cost; entries are sent once for every 16,384 queries, and a query's best are
+merged by its key. Every row is indexed; only the rotations are fitted on a sample of at most `SAMPLE` rows.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows of a null id or of another
 length than the most frequent one. A row repeated with the same vector counts once; an id with two vectors is no neighbour of
@@ -24,9 +27,10 @@ from loomwork.llm.common import cut
 
 SAMPLE = 20_000
 ROTATIONS = 4
-BLOCK, QUERY_BLOCK = 16_384, 1024
+BLOCK, QUERY_BLOCK = 65_536, 16_384
 #: Codes of a block that a query's radius takes in at least.
-ENOUGH = 400
+ENOUGH = 500
+PART = 16
 
 
 def fit(x, rotations: int = ROTATIONS, steps: int = 8, seed: int = 0):
@@ -59,53 +63,70 @@ def encode(x, mean, matrix):
     return np.packbits((x - mean) @ matrix > 0, axis=1, bitorder="little").view("<u8")
 
 
+def near_values() -> tuple:
+    """All 16-bit patterns, those of fewer bits first, and how many have up to 0, 1, .. bits."""
+    import numpy as np
+
+    x = np.arange(1 << PART, dtype=np.uint32)
+    bits = np.bitwise_count(x)
+    return x[np.argsort(bits, kind="stable")], np.cumsum(np.bincount(bits))
+
+
 class Index:
-    """Substring tables of a block of codes: the values that occur, and the codes of each."""
+    """Substring tables of a block of codes: for each value the codes that have it."""
 
     def __init__(self, codes):
         import numpy as np
 
         self.np, self.codes = np, codes
-        self.n, self.m = codes.shape
-        self.tables = []
+        self.n, self.parts = len(codes), codes.view("<u2").reshape(len(codes), -1)
+        self.m = self.parts.shape[1]
+        self.flips, self.many = near_values()
+        self.tables, self.looked, self.touched = [], 0, 0
         for j in range(self.m):
-            order = np.argsort(codes[:, j], kind="stable")
-            values, first = np.unique(codes[order, j], return_index=True)
-            self.tables.append((values, np.diff(np.append(first, self.n)), order))
+            v = self.parts[:, j]
+            first = np.concatenate([[0], np.cumsum(np.bincount(v, minlength=1 << PART))])
+            self.tables.append((first, np.argsort(v, kind="stable")))
 
     def thresholds(self, radius: int) -> list[int]:
         """t_j with sum(t_j + 1) = radius + 1."""
         base, more = divmod(radius + 1, self.m)
-        return [base + (j < more) - 1 for j in range(self.m)]
+        return [min(PART, base + (j < more) - 1) for j in range(self.m)]
 
     def within(self, query, radius: int):
         """All codes within the radius and their distances."""
         np = self.np
         seen = np.zeros(self.n, dtype=bool)
-        for j, t in enumerate(self.thresholds(radius)):
+        for v, t, (first, order) in zip(query.view("<u2").tolist(), self.thresholds(radius), self.tables, strict=True):
             if t < 0:
                 continue
-            values, many, order = self.tables[j]
-            near = np.bitwise_count(values ^ query[j]) <= t
-            seen[order[near if len(values) == self.n else np.repeat(near, many)]] = True
+            values = self.flips[: self.many[t]] ^ np.uint32(v)
+            a = first[values]
+            size = first[values + 1] - a
+            hit = size > 0
+            a, size = a[hit], size[hit]
+            self.looked += len(values)
+            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            seen[order[at]] = True
         at = np.flatnonzero(seen)
+        self.touched += len(at)
         d = np.bitwise_count(self.codes[at] ^ query).sum(axis=1, dtype=np.int64)
         keep = d <= radius
         return at[keep], d[keep]
 
     def search(self, query, enough: int, radius: int):
         """The codes within the least radius of a growing row of them that takes in `enough`; and that radius."""
-        bits = 64 * self.m
+        bits = PART * self.m
         while True:
-            at, _ = self.within(query, radius)
+            at, d = self.within(query, radius)
             if len(at) >= min(enough, self.n) or radius >= bits:
                 return at, radius
-            radius = min(bits, radius + max(2, bits // 32))
+            radius = min(bits, radius + max(2, bits // 64))
 
 
 def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where("vec_id is not null and v is not null")
+    return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
 def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rotations: int = ROTATIONS, enough: int = ENOUGH, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -122,7 +143,7 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     n = rows.count()
     share = min(1.0, 0.9 * SAMPLE / n)
     sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE).select("v").toArrow()["v"].to_numpy()
-    x = np.stack(sample) if len(sample) else np.eye(d)
+    x = np.stack(sample).astype(np.float64) if len(sample) else np.eye(d)
     mean, matrix = fit(x, rotations)
     bits = matrix.shape[1]
     # the radius at which codes take in about `enough` of the sample's share, as a start
@@ -138,7 +159,9 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     queries = rows.where(is_query(F.col("vec_id")))
     asked = cut(queries.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "asked")
     n_few, n_asked = few.count(), asked.count()
-    blocks, q_blocks = max(1, -(-n_few // block)), max(1, -(-n_asked // query_block))
+    blocks, cores = max(1, -(-n_few // block)), spark.sparkContext.defaultParallelism
+    # smaller blocks of queries where there are too few for all cores
+    q_blocks = max(1, -(-n_asked // query_block), min(-(-n_asked // 256), -(-cores // blocks)))
     deal = lambda c, m, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(m)).cast("int")
     entries = few.withColumn("b", deal("e", blocks, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     ask = asked.withColumn("qb", deal("q", q_blocks, 2)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -149,13 +172,13 @@ def neighbours(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
         mean, matrix, radius = model.value
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            mat = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            mat = lambda t: t["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
             x, q = mat(left), mat(right)
             index, codes, ids = Index(encode(x, mean, matrix)), encode(q, mean, matrix), left["ids"].to_pylist()
             least = np.array([i[0] for i in ids])
             for i, key in enumerate(right["q"].to_pylist()):
                 at, r = index.search(codes[i], enough, radius)
-                radius = r if r == radius else radius + 1
+                radius = max(4, radius - 2) if r == radius and len(at) > 2 * enough else r
                 score = (x[at] * q[i]).sum(axis=1)
                 top = np.lexsort((least[at], -score))[: k + 1]
                 pairs = sorted((-s, v) for a, s in zip(at[top].tolist(), score[top].tolist(), strict=True) for v in ids[a])[: k + 1]
