@@ -8,7 +8,8 @@ many that follow as the longest added token has, as one may begin there; that is
 
 Nulls: a null text counts as empty (no tokens). Edits of a null document id or of unknown documents have no effect; bounds are
 clipped to the text; edits of a document apply in the order of `seq` and then of their fields, each to the text that the one
-before left. Repeated document rows each get the edits. Further columns are ignored.
+before left. Repeated document rows each get the edits; equal edits apply one after the
+other. Texts of any length have one tree. Without rows the result is empty. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

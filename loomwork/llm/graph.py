@@ -13,6 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node joins its least neighbour (by a hash, so chains of rising ids halve too) and edges are drawn
     between what is left; maps of all rounds are composed at the end. Each round's tables are written to the shared folder.
+    Repeated edges count once, edges of a node with itself and of nulls not at all; without edges the result is empty.
     """
     h = lambda c: F.xxhash64(F.lit(17), c)
     now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")

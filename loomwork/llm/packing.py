@@ -7,7 +7,8 @@ exchanged: they are dealt anew over fewer groups and packed again, together with
 no fewer sequences than the documents came with keeps them as they were.
 
 Nulls: a null text counts as empty, a null id is kept. Empty texts are documents of the end id alone. Repeated rows are
-packed as often as they occur. Without rows there are no sequences. Further columns of the input are ignored.
+packed as often as they occur. Without rows there are no sequences. Further columns of documents are ignored;
+items keep theirs. Texts of any length are cut whole. Pieces of like size are packed in the order in which they came.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import cut
+from loomwork.llm.common import cut, fresh
 from loomwork.llm.tokens import default_path, encoder
 
 #: Pieces of a group: it must fit in one worker's memory and is packed in one go.
@@ -109,12 +110,14 @@ def best_fit(sizes, capacity: int):
 
 
 def pack(items: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: int = ROUNDS, size_col: str = "length") -> DataFrame:
-    """items with sequence_id and offset. Sizes are from 1 to capacity; each row is an item.
+    """items with sequence_id and offset, which replace columns of these names. Sizes are from 1 to capacity; each row is an item.
 
     Also returned: `certified`, true if the row's group met its lower bound when its sequence was closed.
     """
+    items = items.drop("sequence_id", "offset", "certified")
+    part, closed_ = fresh(items.columns, "part"), fresh(items.columns, "closed")
     fields = [*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("certified", T.BooleanType())]
-    schema, state = T.StructType(fields), T.StructType([*fields, T.StructField("closed", T.BooleanType())])
+    schema, state = T.StructType(fields), T.StructType([*fields, T.StructField(closed_, T.BooleanType())])
     base = cut(items.withColumn("sequence_id", F.monotonically_increasing_id()), "items")
     full = F.col(size_col) >= capacity
     done = base.where(full).select(*items.columns, "sequence_id", F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
@@ -138,8 +141,8 @@ def pack(items: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: int
             certified = used <= bound
             fill = np.bincount(bins, weights=sizes)
             closed = np.full(len(sizes), True) if certified or last else fill[bins] >= capacity
-            t = t.drop_columns(["part", "sequence_id", "offset"])
-            for name, v in (("sequence_id", ids), ("offset", offs), ("certified", np.full(len(sizes), certified)), ("closed", closed)):
+            t = t.drop_columns([part, "sequence_id", "offset"])
+            for name, v in (("sequence_id", ids), ("offset", offs), ("certified", np.full(len(sizes), certified)), (closed_, closed)):
                 t = t.append_column(name, pa.array(v))
             return t
 
@@ -151,12 +154,12 @@ def pack(items: DataFrame, capacity: int = 1024, group: int = GROUP, rounds: int
         last = r == rounds - 1 or (r > 0 and groups == 1)
 
         # the sequence id as key keeps what shares a sequence together from the second round on
-        dealt = left.withColumn("part", F.pmod(F.xxhash64(F.col("sequence_id"), F.lit(r)), F.lit(groups)))
-        got = cut(dealt.groupBy("part").applyInArrow(packer(r, last), state), "packed")
-        done = done.unionByName(got.where("closed").select(*schema.names))
+        dealt = left.withColumn(part, F.pmod(F.xxhash64(F.col("sequence_id"), F.lit(r)), F.lit(groups)))
+        got = cut(dealt.groupBy(part).applyInArrow(packer(r, last), state), "packed")
+        done = done.unionByName(got.where(F.col(closed_)).select(*schema.names))
         if last:
             break
-        left = got.where("not closed").drop("certified", "closed")
+        left = got.where(~F.col(closed_)).drop("certified", closed_)
         n = left.count()
         groups = max(1, min(-(-n // group), -(-groups // SHRINK)))
     return done.select(*schema.names)

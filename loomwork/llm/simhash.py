@@ -9,7 +9,8 @@ links that connect them (a walk over the group), never all pairs.
 
 Nulls: a null text has no words, fingerprint zero, and links like any other; a null id keeps its row and takes part in links,
 but is never a component's id (a component of null ids only has a null id). Repeated rows are returned as often as they occur.
-Without rows the result is empty. Further columns are ignored.
+Texts of any length are whole; a bit that half of the shingles have is not set. Without rows the result is empty. Further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

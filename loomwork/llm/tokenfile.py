@@ -7,14 +7,15 @@ executors; (part, shard) orders them. A boundary costs 2 + log2(ids / documents)
 of the upper bits without a table of 64-bit offsets.
 
 Nulls: a null text counts as empty, null document ids come first. An empty text is one end id. Equal document ids are ordered
-by a hash of the text and repeated rows all stay. No rows: no shards. Further columns are ignored.
+by a hash of the text and repeated rows all stay. Texts of any length are whole; a shard closes after the document
+that fills it. No rows: no shards. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import new_path
@@ -23,8 +24,8 @@ from loomwork.llm.tokens import default_path, encoder
 SHARD = "part int, shard int, n_docs long, n_ids long, width int, ids binary, ends_low binary, ends_high binary, low_bits int, doc_ids binary, no_id long"
 #: A shard closes at so many ids: 16 MB at two bytes each.
 SHARD_IDS = 8_000_000
-#: Text per part before tokens are counted.
-PART_BYTES = 24 << 20
+#: Shards up to which their places (some 30 bytes each) are broadcast.
+SMALL = 500_000
 SAMPLE = 256
 
 
@@ -135,16 +136,12 @@ def write(docs: DataFrame, out: str | None = None, end_id: int = 0, path: str |
 def shards(spark: SparkSession, out: str) -> DataFrame:
     """The shards with `base`, the ids of all shards before each."""
     df = spark.read.schema(SHARD).parquet(out)
-    sums = df.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # a row for each part, tens of MB of text each: a short list even for very large inputs
-    at, place = 0, []
-    for part, n in sorted((r["part"], r["n"]) for r in sums.collect()):
-        place.append((part, at))
-        at += n
-    first = spark.createDataFrame(place, "part int, part_base long")
-    inner = df.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("shard", "n_ids"))).alias("s"))
-    bases = inner.select("part", F.explode(F.expr("transform(s, (x, i) -> struct(x.shard as shard, aggregate(slice(s, 1, i), 0L, (a, y) -> a + y.n_ids) as inner_base))")).alias("b")).select("part", "b.shard", "b.inner_base")
-    return df.join(bases.join(first, "part"), ["part", "shard"]).withColumn("base", F.col("part_base") + F.col("inner_base"))
+    # a row for each part, tens of MB of text each, summed up in one task; and one for each shard
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = df.groupBy("part").agg(F.sum("n_ids").alias("n"), F.sort_array(F.collect_list(F.struct("shard", "n_ids"))).alias("s")).withColumn("part_base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inner = F.expr("transform(s, (x, i) -> struct(x.shard as shard, part_base + aggregate(slice(s, 1, i), 0L, (a, y) -> a + y.n_ids) as base))")
+    bases = first.select("part", F.explode(inner).alias("b")).select("part", "b.shard", "b.base")
+    return df.join(F.broadcast(bases) if df.count() <= SMALL else bases, ["part", "shard"])
 
 
 def read(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:

@@ -41,7 +41,7 @@ def test_packing_matches_brute_force(spark, tiny, tmp_path):
 def test_exchange_helps_and_keeps_items(spark):
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 101, 3000).tolist()
-    items = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "k int, length long")
+    items = spark.createDataFrame([(i, int(s), "x", "y", 1) for i, s in enumerate(sizes)], "k int, length long, part string, closed string, offset int")
     rows = packing.pack(items, capacity=100, group=200).collect()
     assert sorted((r["k"], r["length"]) for r in rows) == list(enumerate(sizes))
     used = len({r["sequence_id"] for r in rows})
