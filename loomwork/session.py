@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -32,6 +33,9 @@ def ship(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([x for x in have if x] + [ROOT])
+    # texts are large rows: ten thousand of them in a batch take hundreds of MB in each worker
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     return spark
 
 
