@@ -6,7 +6,7 @@ from loomwork.registry import Registry
 
 registry = Registry()
 
-from loomwork.plans import queries_kernels, queries_relational  # noqa: E402, F401
+from loomwork.plans import queries_kernels, queries_relational, queries_sources  # noqa: E402, F401
 
 #: Where the other engine counts in wider types than this one.
 CASTS = {

@@ -27,6 +27,8 @@ def _folder(spark, name: str) -> str:
     """A new folder below the shared one; a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _temp:
             _temp.append(tempfile.mkdtemp(prefix="loomwork-q-"))
             atexit.register(shutil.rmtree, _temp[0], ignore_errors=True)
@@ -267,9 +269,9 @@ def item_similarity(spark, sf_dir):
     return I.item_similarity(_bought(spark, sf_dir), "u", "i").withColumn("similarity", F.round("similarity", 9))
 
 
-@q(oracle=_ITEMS + ", d AS (SELECT a, b, sim FROM j UNION ALL SELECT b, a, sim FROM j), g AS (SELECT u.u, d.b AS i, sum(sim) AS score FROM u JOIN d ON u.i = d.a WHERE u.u < 100 AND NOT EXISTS (SELECT 1 FROM u o WHERE o.u = u.u AND o.i = d.b) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) AS rank FROM g) SELECT u, i, round(score, 6) AS score, rank FROM r WHERE rank <= 3 AND u < 100")
+@q(oracle=_ITEMS + ", d AS (SELECT a, b, sim FROM j UNION ALL SELECT b, a, sim FROM j), g AS (SELECT u.u, d.b AS i, sum(sim) AS score FROM u JOIN d ON u.i = d.a WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.u = u.u AND o.i = d.b) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) AS rank FROM g) SELECT u, i, round(score, 6) AS score, rank FROM r WHERE rank <= 3")
 def recommend_items(spark, sf_dir):
-    return I.recommend(_bought(spark, sf_dir), "u", "i", 3).where("u < 100").select("u", "i", F.round("score", 6).alias("score"), "rank")
+    return I.recommend(_bought(spark, sf_dir), "u", "i", 3).select("u", "i", F.round("score", 6).alias("score"), "rank")
 
 
 @q(oracle="WITH l(event_type, low, high) AS (VALUES ('click', 10.0, 60.0), ('view', 5.0, 30.0)) SELECT event_id, event_type, CASE WHEN abs(value - high) > 50 THEN 'high' ELSE 'medium' END AS severity FROM events JOIN l USING (event_type) WHERE value < low OR value > high")
@@ -432,30 +434,31 @@ def part_salted_sum(spark, sf_dir):
     return P.salted_sum(table(spark, sf_dir, "orders"), "o_orderstatus", "o_custkey")
 
 
-@q(oracle="SELECT o_orderkey, o_totalprice, 0 AS version FROM orders WHERE o_orderkey < 100 UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 5 ELSE o_totalprice END, 9 FROM orders WHERE o_orderkey < 200 AND o_orderkey % 10 <> 3")
+@q(oracle="SELECT o_orderkey, o_totalprice, 0 AS version FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_totalprice + 5 ELSE o_totalprice END, 9 FROM orders WHERE o_orderstatus <> 'P'")
 def table_time_travel(spark, sf_dir):
     """Write, append, update, delete, rename a column, compact; then the first data and the last."""
     from loomwork.sources.versioned import VersionedTable
 
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     t = VersionedTable(spark, _folder(spark, "table"))
-    t.write(o.where("o_orderkey < 100"))
-    t.write(o.where("o_orderkey >= 100 AND o_orderkey < 200"))
-    t.update(F.col("o_orderkey") % 2 == 0, {"o_totalprice": F.col("o_totalprice") + 5})
-    t.delete(F.col("o_orderkey") % 10 == 3)
+    t.write(o.where("o_orderstatus = 'F'"))
+    t.write(o.where("o_orderstatus <> 'F'"))
+    t.update(F.col("o_custkey") % 2 == 0, {"o_totalprice": F.col("o_totalprice") + 5})
+    t.delete(F.col("o_orderstatus") == "P")
     t.evolve(rename={"o_totalprice": "price"})
     t.optimize()
     return t.read(version=1).select("o_orderkey", "o_totalprice", F.lit(0).alias("version")).unionByName(t.read().select("o_orderkey", F.col("price").alias("o_totalprice"), F.lit(9).alias("version")))
 
 
-@q(oracle="SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey < 100 OR (o_orderkey < 150 AND o_orderkey % 3 = 0)")
+@q(oracle="SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders")
 def table_merge(spark, sf_dir):
+    """Finished orders change, open ones stay, pending ones are new."""
     from loomwork.sources.versioned import VersionedTable
 
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     t = VersionedTable(spark, _folder(spark, "table"))
-    t.write(o.where("o_orderkey < 100"))
-    t.merge(o.where("o_orderkey < 150 AND o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2), "o_orderkey")
+    t.write(o.where("o_orderstatus <> 'P'"))
+    t.merge(o.where("o_orderstatus <> 'O'").withColumn("o_totalprice", F.col("o_totalprice") * 2), "o_orderkey")
     return t.read()
 
 

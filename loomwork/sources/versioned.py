@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,8 @@ class VersionedTable:
         got = stored.agg(F.count("*").alias("n"), *[f(c).cast("string").alias(f"{k}_{i}") for i, c in enumerate(plain) for k, f in (("min", F.min), ("max", F.max))], *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(plain)]).first()
         return {"path": folder, "rows": got["n"], "stats": {c: {"min": got[f"min_{i}"], "max": got[f"max_{i}"], "nulls": got[f"null_{i}"]} for i, c in enumerate(plain)}}
 
-    def write(self, df: DataFrame, mode: str = "append", partition_by: list[str] | None = None) -> int:
+    def write(self, df: DataFrame, mode: str = "append", partition_by: list[str] | None = None, based_on: int | None = None) -> int:
+        """Commits df. based_on: the version that df was made from; if another one came in between, ConflictError and no change."""
         if mode not in ("append", "overwrite", "error"):
             raise ValueError(f"unknown mode {mode}")
         if mode == "error" and self.exists():
@@ -103,6 +105,8 @@ class VersionedTable:
         add = self._store(physical, snap.get("partition_by", []))
         for _ in range(20):
             snap = self.snapshot()
+            if based_on is not None and snap["version"] != based_on:
+                raise ConflictError(f"version {snap['version']} came after {based_on}, which was read")
             actions = {"op": mode, "time": time.time(), "add": [add], "remove": list(snap["files"]) if mode == "overwrite" else []}
             if mode == "overwrite":
                 actions |= {"schema": df.schema.json(), "mapping": {c: c for c in df.columns}}
@@ -129,10 +133,11 @@ class VersionedTable:
             keep = [f for f in keep if (s := f["stats"].get(names[c])) is None or s["max"] is None or not (num(s["max"]) < num(low) or num(s["min"]) > num(high))]
         if not keep:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.schema(physical).parquet(f"{self.path}/{f['path']}") for f in keep]
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionAll(p)
+        if snap.get("partition_by"):  # each folder has its own root of partition values
+            parts = [self.spark.read.schema(physical).parquet(f"{self.path}/{f['path']}") for f in keep]
+            df = reduce(DataFrame.unionAll, parts)
+        else:
+            df = self.spark.read.schema(physical).parquet(*(f"{self.path}/{f['path']}" for f in keep))
         return df.select(*[F.col(names[f.name]).alias(f.name) for f in schema])
 
     def history(self, limit: int | None = None) -> DataFrame:
@@ -152,10 +157,12 @@ class VersionedTable:
 
     def vacuum(self, retention_hours: float = 168) -> list[str]:
         """Deletes folders that no snapshot of the retention time needs."""
-        now, needed = time.time(), set(self.snapshot()["files"])
+        now, needed, active = time.time(), set(), set()
         for c in self.commits():
+            active = (active - set(c.get("remove", []))) | {f["path"] for f in c.get("add", [])}
             if c["time"] >= now - retention_hours * 3600:
-                needed |= set(self.snapshot(version=c["version"])["files"])
+                needed |= active
+        needed |= active
         root, gone = self._Path(f"{self.path}/data"), []
         for s in self._fs.listStatus(root) if self._fs.exists(root) else []:
             name = f"data/{s.getPath().getName()}"
@@ -166,22 +173,24 @@ class VersionedTable:
 
     # changes to rows
     def delete(self, condition: Column) -> int:
-        return self.write(self.read().where(~F.coalesce(condition, F.lit(False))), "overwrite")
+        now = self.version()
+        return self.write(self.read(now).where(~F.coalesce(condition, F.lit(False))), "overwrite", based_on=now)
 
     def update(self, condition: Column, values: dict[str, Column]) -> int:
-        hit = F.coalesce(condition, F.lit(False))
-        df = self.read()
-        return self.write(df.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in values.items()}), "overwrite")
+        now, hit = self.version(), F.coalesce(condition, F.lit(False))
+        df = self.read(now)
+        return self.write(df.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in values.items()}), "overwrite", based_on=now)
 
     def merge(self, source: DataFrame, key: str, update: bool = True, insert: bool = True, delete: Column | None = None) -> int:
         """Matching rows take the source's values (or go where `delete` holds of the source); others are inserted."""
-        now = self.read()
+        version = self.version()
+        now = self.read(version)
         if delete is not None:
             now = now.join(source.where(delete).select(key), key, "left_anti")
             source = source.where(~F.coalesce(delete, F.lit(False)))
         keep = now.join(source.select(key), key, "left_anti") if update else now
         new = source if update and insert else source.join(now.select(key), key, "left_semi" if update else "left_anti")
-        return self.write(keep.unionByName(new.select(*now.columns)), "overwrite")
+        return self.write(keep.unionByName(new.select(*now.columns)), "overwrite", based_on=version)
 
     # changes to the schema: names map to stored columns, so no data is rewritten
     def evolve(self, add: dict[str, str] | None = None, rename: dict[str, str] | None = None, drop: list[str] | None = None) -> int:

@@ -362,3 +362,26 @@ def test_optimisers():
     xy = np.stack([np.cos(a), np.sin(a)], axis=1)
     d = np.linalg.norm(xy[:, None] - xy[None], axis=2)
     assert abs(optimise.ant_tour(d)[1] - d[range(8), [(i + 1) % 8 for i in range(8)]].sum()) < 1e-6
+
+
+def test_a_change_is_not_lost_to_another_writer(spark, tmp_path, monkeypatch):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from loomwork.sources.versioned import ConflictError, VersionedTable
+
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    t.write(spark.range(10))
+    store = t._store
+
+    def between(df, by):
+        monkeypatch.setattr(t, "_store", store)
+        VersionedTable(spark, t.path).write(spark.range(100, 105))
+        return store(df, by)
+
+    monkeypatch.setattr(t, "_store", between)
+    with pytest.raises(ConflictError):
+        t.delete(F.col("id") == 3)
+    assert t.read().count() == 15
+    t.delete(F.col("id") == 3)
+    assert t.read().count() == 14
