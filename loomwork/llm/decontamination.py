@@ -40,8 +40,8 @@ RUN = 30
 #: The shortest windows of items that are longer than one window.
 LEAST = 4
 BLOCK = 1_000_000
-SLICE = 2 << 20
-KNOWN = 50_000
+SLICE = 1 << 20
+KNOWN = 30_000
 #: Units that become placeholders after a number.
 UNITS = frozenset("mm cm m km in inch inches ft feet foot yd yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent % degree degrees mph kmh kph watt watts kw volt volts joule joules newton newtons pound pounds gram grams kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres".split())
 #: Words that often begin a question or sentence and are no names, wherever they stand.
@@ -155,8 +155,8 @@ def _index(rows, size: int):
     for key, f in found.items():
         f.sort()
         h, k, i = (np.array(x, dtype=t) for x, t in zip(zip(*f, strict=True), (np.uint64, np.int64, np.int64), strict=True))
-        table = np.zeros(1 << 20, dtype=bool)
-        table[(h >> np.uint64(44)).astype(np.int64)] = True
+        table = np.zeros(1 << 18, dtype=bool)
+        table[(h >> np.uint64(46)).astype(np.int64)] = True
         out[key] = (h, k, i, table)
     return out, items
 
@@ -219,7 +219,7 @@ def mark(docs: DataFrame, bench: DataFrame, window: int = WINDOW, cover: float =
                 hits: dict[tuple[int, int], dict[int, dict]] = defaultdict(lambda: defaultdict(dict))
                 for (n, exact), (keys, item, place, table) in index.items():
                     w = windows(lit if exact else shape, n)
-                    at = np.flatnonzero(table[(w >> np.uint64(44)).astype(np.int64)] & (text[: len(w)] == text[n - 1 :])) if len(w) else []
+                    at = np.flatnonzero(table[(w >> np.uint64(46)).astype(np.int64)] & (text[: len(w)] == text[n - 1 :])) if len(w) else []
                     if not len(at):
                         continue
                     left, right = np.searchsorted(keys, w[at], "left"), np.searchsorted(keys, w[at], "right")

@@ -32,8 +32,8 @@ PIECE = 2000
 #: Nats for each character above a language's own mean, and standard errors, from which a text is rejected.
 MARGIN, ERRORS = 1.0, 4.0
 ENOUGH = 5
-CHUNK = 1 << 18
-ROWS = 500
+CHUNK = 1 << 17
+ROWS = 250
 _M = 0x9E3779B97F4A7C15
 
 

@@ -30,12 +30,12 @@ RADIUS = 4
 #: Documents of the sample that tells which shingles are frequent, from how many of them on, and how many such at most.
 SAMPLE, OFTEN, MOST_FREQUENT = 10_000, 4, 100_000
 #: Nodes of a shingle from which it goes to the end of the order, and how many shingles do at most (16 bytes each).
-HOT, MOST_LOUD = 2000, 500_000
+HOT, MOST_LOUD = 40, 500_000
 #: Rounds of pairs with one hub of each shingle, before each node with each.
 ROUNDS = 1
 #: Rows up to which keys (some 24 bytes each) are broadcast.
 SMALL = 500_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Parity bits that travel with nodes; those that verify are a power of two of this at least.
 COARSE = 256
 #: Bits of the map, always of one size, that keeps shingles of one node only from being sent to meet others.
