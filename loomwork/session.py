@@ -35,7 +35,7 @@ def ship(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([x for x in have if x] + [ROOT])
     # texts are large rows: ten thousand of them in a batch take hundreds of MB in each worker
     if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "1000")
+        spark.conf.set(BATCH, "500")
     return spark
 
 
