@@ -60,18 +60,19 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     now = cut(linked.select("tree", "node", F.col("n").alias("to"), F.lit(1).cast("long").alias("hops"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.col("score").isNotNull().cast("long").alias("known")), "climb")
     parents = now.where("to is not null").select(F.col("tree").alias("t"), F.col("to").alias("n")).distinct()
     leaves = now.join(parents, same(("tree", "t"), ("node", "n")), "left_anti").select("tree", "node")
-    steps, reach = [], 1
+    steps, reach, closed = [], 1, now.where("to is null")
     while True:
-        open_ = now.where("to is not null")
+        open_ = now.where("to is not null")  # only these go on
         if open_.isEmpty() or reach > 2 * most:
             break
         steps.append(open_.select(F.col("tree").alias("t"), F.col("node").alias("n"), "to"))
-        up = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("total").alias("total2"), F.col("known").alias("known2"))
-        more = [(F.col(c) + F.coalesce(F.col(f"{c}2"), F.lit(0))).alias(c) for c in ("hops", "total", "known")]
-        now = cut(now.join(up, same(("tree", "t"), ("to", "n")), "left").select("tree", "node", F.col("to2").alias("to"), *more), "climb")
+        up = closed.unionAll(open_).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("total").alias("total2"), F.col("known").alias("known2"))
+        more = [(F.col(c) + F.col(f"{c}2")).alias(c) for c in ("hops", "total", "known")]
+        now = cut(open_.join(up, same(("tree", "t"), ("to", "n"))).select("tree", "node", F.col("to2").alias("to"), *more), "climb")
+        closed = closed.unionAll(now.where("to is null"))
         reach *= 2
     ends = leaves.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.lit(True).alias("leaf"))
-    rooted = now.where("to is null").join(ends, same(("tree", "t"), ("node", "n")), "left")
+    rooted = closed.join(ends, same(("tree", "t"), ("node", "n")), "left")
     return rooted.select("tree", "node", "hops", "total", "known", F.coalesce("leaf", F.lit(False)).alias("leaf")), steps
 
 
