@@ -5,7 +5,9 @@ A node is a distinct set of shingles, so exact copies cost nothing. Two nodes ar
 `simhash` returns what lies within `RADIUS` bits, and exact sets verify it. A similarity of 0.8 can be 17 bits and more, beyond
 any pigeonhole of 64 bits, so what fingerprints can't reach is found by prefixes: shingles have one order, rare ones first, and
 alike sets share a shingle among the first n - ceil(similarity * n) + 1 of each. Only nodes that no verified link connects yet
-meet there, first with one hub of each shingle, then each with each. No link is lost, whatever the order or the fingerprints.
+meet there, first with one hub of each shingle, then each with each. Two nodes that share several shingles in a row of their
+prefixes meet at the first of them, and only where as many shingles can follow as a link needs: the first shingle that an alike
+pair shares always passes both. No link is lost, whatever the order or the fingerprints.
 Sizes and parity bits (one for each shingle at least), which bound the similarity from above, leave out pairs that can't be
 alike before sets are sent.
 
@@ -19,7 +21,7 @@ are one group. Without rows the result is empty. All columns stay as they are, w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import cut, fresh, give_back
@@ -246,7 +248,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         return cut(prefixes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("nodes")).where("nodes > 1"), "counted")
 
     def meeting(prefixes: DataFrame, many: DataFrame) -> DataFrame:
-        """shingle, node, n: the nodes that have these shingles."""
+        """shingle, node, n, pos: the nodes that have these shingles, and where in their prefixes."""
         slot = F.col("shingle").bitwiseAND(F.lit((1 << MAP) - 1))
         words_ = many.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(shingle & 63L as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         table = np.zeros(1 << (MAP - 6), dtype=np.int64)
@@ -260,12 +262,14 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
             for b in batches:
                 prefix = b.column(2)
                 s = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                who = np.repeat(np.arange(b.num_rows), prefix.value_lengths().to_numpy(zero_copy_only=False))
+                many_ = prefix.value_lengths().to_numpy(zero_copy_only=False)
+                who = np.repeat(np.arange(b.num_rows), many_)
+                pos = np.arange(len(s)) - np.repeat(np.cumsum(many_) - many_, many_)
                 keep = (bits[((s & np.uint64((1 << MAP) - 1)) >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) > 0
                 at = pa.array(who[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["shingle", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(pos[keep].astype(np.int64))], names=["shingle", "node", "n", "pos"])
 
-        return cut(prefixes.select("node", "n", "prefix").mapInArrow(run, "shingle long, node long, n long").join(many.select("shingle"), "shingle"), "shared")
+        return cut(prefixes.select("node", "n", "prefix").mapInArrow(run, "shingle long, node long, n long, pos long").join(many.select("shingle"), "shingle"), "shared")
 
     def mixed(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Nodes of shingles that several components have, and these shingles with how many and a hub."""
@@ -292,9 +296,12 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         connect(plausible(pairs.where(size).select("a", "b").distinct()))
     step = ROUNDS
     at, several = mixed(shared)
-    at = cut(at.join(several.select("shingle"), "shingle").join(known.select("node", "coarse"), "node"), "left")
-    a, b = (at.select("shingle", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("coarse").alias(f"coarse{k}")) for k in "ab")
-    cross = (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size & (roughly <= most)
+    before = F.lag("shingle").over(Window.partitionBy("node").orderBy("pos"))
+    at = cut(at.join(several.select("shingle"), "shingle").join(known.select("node", "coarse"), "node").withColumn("before", before), "left")
+    a, b = (at.select("shingle", F.col("node").alias(k), F.col("root").alias(f"r{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "before", "coarse"))) for k in "ab")
+    start = F.coalesce(F.col("beforea") != F.col("beforeb"), F.lit(True))  # else they meet at the shingle before, too
+    enough = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    cross = (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size & start & enough & (roughly <= most)
     connect(plausible(a.join(b, cross).select("a", "b").distinct()))
 
     placed = rooted(known.select("node", "m"))

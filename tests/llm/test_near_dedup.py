@@ -71,3 +71,20 @@ def test_every_pair_above_the_similarity(spark, tmp_path):
     far = [p for p in pairs if (fp(texts[p[0]], 5) ^ fp(texts[p[1]], 5)).bit_count() > 9]
     assert len(far) >= 5  # a search within nine bits of the fingerprints finds none of these
     assert left(spark, tmp_path, texts) == left(spark, tmp_path, texts, hot=1) == sorted(stays(texts))
+
+
+def test_passages_shared_by_unlike_texts_and_cut_copies(spark, tmp_path):
+    r = random.Random(8)
+    passages = [[f"p{k}w{j}" for j in range(40)] for k in range(6)]
+    texts = []
+    for i in range(50):  # unlike texts meet at many shingles; copies have edits, or lack up to a fifth of the words
+        own = [f"o{i}w{j}" for j in range(r.randrange(60, 260))]
+        a, b = r.sample(passages, 2)
+        w = own[:20] + a + own[20:50] + b + own[50:]
+        copy = other(r, w, 1 + i % 5, f"e{i}") if i % 2 else w[: int(len(w) * r.uniform(0.76, 0.9))]
+        texts += [" ".join(w), " ".join(copy)]
+    s = [shingles(t) for t in texts]
+    alike = [len(s[i] & s[i + 1]) / len(s[i] | s[i + 1]) for i in range(0, 100, 2)]
+    assert sum(0.8 <= x < 0.84 for x in alike) >= 3 and sum(x < 0.8 for x in alike) >= 5
+    assert sum(1 for i in range(0, 100, 2) for j in range(i) if s[i] & s[j]) > 500
+    assert left(spark, tmp_path, texts) == left(spark, tmp_path, texts, hot=1) == sorted(stays(texts))
