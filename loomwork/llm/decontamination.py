@@ -28,6 +28,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from loomwork.llm.common import fresh, give_back
 
@@ -54,34 +55,36 @@ _M = 0x9E3779B97F4A7C15
 
 
 class Lexicon:
-    """What words turn into; kept for a bounded number of words."""
+    """What words turn into; kept for the first `KNOWN` words, as the frequent ones come early."""
 
     def __init__(self):
         self.known: dict[str, tuple[int, int]] = {}
 
     def of(self, word: str) -> tuple[int, int]:
         """A hash and flags: 1 number, 2 unit, 4 capitalised, 8 ends a sentence, 16 nothing but marks."""
-        from xxhash import xxh64_intdigest
-
         got = self.known.get(word)
         if got is not None:
             return got
-        core = _EDGE.sub("", word)
-        flags = 8 * (word[-1:] in ".!?:;" or word.rstrip("\"')]»”’")[-1:] in ".!?")
+        core, flags = word, 0
+        if not word.isalnum():  # else there is no mark in it, which most words are spared to be searched for
+            flags = 8 * (word[-1:] in ".!?:;" or word.rstrip("\"')]»”’")[-1:] in ".!?")
+            core = word.rstrip(".,:;!?")
+            if not core.isalnum():
+                core = _EDGE.sub("", word)
         low = core.lower()
-        if _NUMBER.match(core):
+        if not core.isalpha() and _NUMBER.match(core):
             flags |= 1
         else:
             flags |= 2 * (low in UNITS)
-            low = _INNER.sub("", low)
-            if len(core) > 1 and core[0].isupper() and core[1:].islower() and low not in OPENERS:
+            if not low.isalnum():
+                low = _INNER.sub("", low)
+            if core[:1].isupper() and len(core) > 1 and core[1:].islower() and low not in OPENERS:
                 flags |= 4
         if not low:
             flags |= 16
         got = (xxh64_intdigest(low), flags)
-        if len(self.known) >= KNOWN:
-            self.known.clear()
-        self.known[word] = got
+        if len(self.known) < KNOWN:
+            self.known[word] = got
         return got
 
 
@@ -94,8 +97,8 @@ def template(texts, lexicon: Lexicon):
     words = pc.ascii_split_whitespace(texts.fill_null(""))
     sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     flat = words.flatten().dictionary_encode()
-    seen = flat.dictionary.to_pylist()
-    pairs = [lexicon.of(w) for w in seen]
+    seen = flat.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+    pairs = [*map(lexicon.of, seen)]
     h = np.array([p[0] for p in pairs], dtype=np.uint64)
     fl = np.array([p[1] for p in pairs], dtype=np.int64)
     at = flat.indices.to_numpy()

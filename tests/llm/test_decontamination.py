@@ -150,3 +150,36 @@ def test_clashing_names(spark):
     got = D.clean(d, bench(spark, [(7, ITEM)])).collect()
     assert [(r["doc_id"], r["leaks"]) for r in got] == [(1, "c")]
     assert D.mark(d, bench(spark, [(7, ITEM)])).columns == [*d.columns, "leaks_"]
+
+
+def test_words_are_told_apart_as_by_searches_alone(monkeypatch):
+    """Most words need no search for marks; what they turn into is what the searches give."""
+    import random
+
+    from xxhash import xxh64_intdigest
+
+    def searched(word):
+        core = D._EDGE.sub("", word)
+        low, flags = core.lower(), 8 * (word[-1:] in ".!?:;" or word.rstrip("\"')]»”’")[-1:] in ".!?")
+        if D._NUMBER.match(core):
+            flags |= 1
+        else:
+            flags |= 2 * (low in D.UNITS)
+            low = D._INNER.sub("", low)
+            flags |= 4 * (len(core) > 1 and core[0].isupper() and core[1:].islower() and low not in D.OPENERS)
+        return xxh64_intdigest(low), flags | 16 * (not low)
+
+    r = random.Random(3)
+    odd = ["".join(r.choice("azZßİΣς_-+$€%.,:;!?\"')]»”’0123²½٣漢") for _ in range(r.randrange(1, 7))) for _ in range(20_000)]
+    plain = ["stone", "Anna", "the", "The", "kg", "elleé", "word.", "Rome,", "red?"]
+    want = {w: searched(w) for w in odd + plain}
+    lexicon = D.Lexicon()
+    assert all(lexicon.of(w) == got for w, got in want.items())
+
+    class Never:
+        def __getattr__(self, name):
+            raise AssertionError("a search for a plain word")
+
+    for name in ("_EDGE", "_INNER", "_NUMBER"):
+        monkeypatch.setattr(D, name, Never())
+    assert all(D.Lexicon().of(w) == want[w] for w in plain)
