@@ -29,6 +29,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_named: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -36,8 +37,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
+    """As `cut`, dealt by the hash of `by`, which later joins and groups by it needn't deal again; the table is in the session's catalogue."""
+    spark = df.sparkSession
+    _named.append(f"loomwork_{uuid.uuid4().hex}")
+    write = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
+    write.options(path=new_path(spark, name), compression="zstd").saveAsTable(_named[-1])
+    return spark.table(_named[-1])
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Deletes the tables that this process has cut so far; frames that read them can't be used any more."""
+    for t in _named:
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    _named.clear()
     path, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(_made)
     for p in _made:
         where = path(p)

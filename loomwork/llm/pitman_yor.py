@@ -1,18 +1,18 @@
 """A hierarchical Pitman-Yor language model over words.
 
-A text's tokens are its words and one end. The restaurant of a context (the class of the word before, or of the start) serves
-words; its base measure is the restaurant that all contexts share, whose own base is uniform over the known words and one for
-all others. Classes are the upper 16 bits of a word's hash: frequent words have one nearly to themselves, and what is known of
-a context has a fixed size. Seatings are sampled cell by cell (a context's customers that eat one word): a cell is seated anew
-customer by customer under the rest of the state and taken by its weight, which is a Metropolis step within Gibbs sampling.
-After each sweep the restaurants' totals are gathered, so the next sees what all cells did. The sweeps after the first `BURN`
-are samples; a word's probability is the mean of its predictive probabilities under each of them, and `perplexity` sums up
-scores.
+A text's tokens are its words and one end. The restaurant of a context (the word before, or the start) serves words; its base
+measure is the restaurant that all contexts share, whose own base is uniform over the known words and one for all others.
+Seatings are sampled cell by cell (a context's customers that eat one word): a cell is seated anew customer by customer under
+the rest of the state and taken by its weight, which is a Metropolis step within Gibbs sampling. Of a frequent cell's customers
+those that join tables are drawn at once up to the next that opens one, from the same distribution. After each sweep the
+restaurants' totals are gathered, so the next sees what all cells did. The sweeps after the first `BURN` are samples; a word's
+probability is the mean of its predictive probabilities under each of them, and `perplexity` sums up scores.
 
 Blocks of texts send each bucket of words what they hold of it: pairs of context and word, and the documents of each
-occurrence. A bucket is stored once with all blocks' parts, so later passes need no shuffle; it knows all of its words, and
-only the contexts' totals, one number for each class and pass, go around. Buckets answer with sums for each document of a
-block. No vocabulary is ever held in one place.
+occurrence. A bucket is stored once with all blocks' parts, in a bucketed table, so later passes don't shuffle it; it knows all
+of its words. Every context has its own totals: buckets send what they hold of each to the register that has the context, and
+get back the sums of the contexts that occur in them. Buckets answer with sums for each document of a block. No vocabulary,
+of words or contexts, is ever held in one place.
 
 Nulls: a null text is an end alone; null ids count as the empty text for the fold. Repeated rows each count. Without training
 tokens every word is unknown and has probability 1; without rows the result is empty. Words are told apart by 64-bit hashes. Texts
@@ -24,15 +24,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import cut
+from loomwork.llm.common import bucketed, cut, give_back
 
+#: Pairs of a part at most, so its contexts have numbers of 16 bits; a block's share of more is in several parts.
 CLASSES = 1 << 16
 #: Text of a block, and of all blocks' shares in a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 SWEEPS, BURN = 3, 1
 STRENGTH = (1.0, 1.0)  # of the shared restaurant and of contexts
 SEED = 11
+#: From so many customers of a cell on, a step is taken for each new table, not for each customer.
 SINGLY = 64
+#: Buckets for each register of contexts' totals.
+SHARE = 4
 
 
 def _pack(*arrays) -> bytes:
@@ -52,12 +56,55 @@ def _unpack(data: bytes, *kinds: str):
     return out
 
 
+def _planes(a) -> bytes:
+    """Numbers of eight bytes, all their first bytes first: sorted or small ones are compressed well."""
+    import numpy as np
+
+    return np.ascontiguousarray(a).view("u1").reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, kind: str):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(data, dtype="u1").reshape(8, -1).T).view(kind).ravel()
+
+
+def _log_gamma(x):
+    """Stirling's series, for x above 3."""
+    import numpy as np
+
+    y = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+
+
 #: A block's part of a bucket: number of its documents, of those in training; words; pairs of each word; contexts; occurrences of each pair; their documents.
 PART = ("<i8", "<u8", "<u4", "<u2", "<u4", "<u2")
 
 
-def _blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
-    """bucket, block, part; and under bucket -1 - block the block's documents."""
+def _press(part: bytes) -> bytes:
+    """A part, smaller: what is shuffled and stored of it."""
+    import numpy as np
+    import pyarrow as pa
+
+    arrays = _unpack(part, *PART)
+    raw = part[: 8 * len(PART)] + b"".join(np.ascontiguousarray(a).view("u1").reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loose(data: bytes) -> bytes:
+    import numpy as np
+    import pyarrow as pa
+
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd"), dtype="u1")
+    at, out = 8 * len(PART), [raw[: 8 * len(PART)].tobytes()]
+    for n, size in zip(raw[:at].view("<i8").tolist(), (int(k[2:]) for k in PART), strict=True):
+        out.append(raw[at : at + n * size].reshape(size, n).T.tobytes())
+        at += n * size
+    return b"".join(out)
+
+
+def _blocks(docs: DataFrame, held: Column, keys: list[int]) -> DataFrame:
+    """bucket, block, part, the names of the part's contexts; and under bucket -1 - block the block's documents."""
 
     def run(batches):
         import numpy as np
@@ -67,7 +114,7 @@ def _blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         end, start = xxh64_intdigest(b" end"), xxh64_intdigest(b" start")
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, buckets = TaskContext.get().partitionId(), 0, len(keys)
 
         def block(ids, texts, out):
             order = np.argsort(out, kind="stable")  # training documents first
@@ -82,36 +129,38 @@ def _blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
                 keep = ix != seen.index(b"")
                 ix, doc = ix[keep], doc[keep]
                 n = np.bincount(doc, minlength=len(n))
-            h = np.array([*map(xxh64_intdigest, seen), end], dtype=np.uint64)
+            h = np.array([*map(xxh64_intdigest, seen), end, start], dtype=np.uint64)
             # tokens and contexts, each document with its end
             first = np.cumsum(n + 1) - (n + 1)
             at = np.arange(len(ix)) + doc
             w = np.full(len(ix) + len(n), len(seen), dtype=np.int64)
             w[at] = ix
-            u = np.empty(len(w), dtype=np.uint64)
-            u[1:] = h[w[:-1]]
-            u[first] = start
             who = np.repeat(np.arange(len(n)), n + 1)
             rank = np.empty(len(h), dtype=np.int64)
             by = np.lexsort((h, h % np.uint64(buckets)))
             rank[by] = np.arange(len(h))
-            key = (rank[w] << 16) | (u >> np.uint64(48)).astype(np.int64)
+            u = np.empty(len(w), dtype=np.int64)
+            u[1:] = rank[w[:-1]]
+            u[first] = rank[-1]  # the start
+            key = (rank[w] << 32) | u
             o = np.argsort(key, kind="stable")
             key, who = key[o], who[o]
             change = np.flatnonzero(np.diff(key)) + 1
             p0 = np.concatenate([[0], change])
             occ = np.diff(np.append(p0, len(key)))
-            pw, pu = key[p0] >> 16, key[p0] & 0xFFFF
+            pw, pu = key[p0] >> 32, key[p0] & 0xFFFFFFFF
             hb = h[by]
             pb = (hb[pw] % np.uint64(buckets)).astype(np.int64)
             edge = np.flatnonzero(np.diff(pb)) + 1
-            yield -1, _pack(np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_null()).astype("<i1"), out.astype("<i1"), (n + 1).astype("<i8"))
+            yield -1, _pack(np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_null()).astype("<i1"), out.astype("<i1"), (n + 1).astype("<i8")), b""
             head = np.array([len(n), int((~out).sum())], dtype="<i8")
-            for a, b in zip(np.concatenate([[0], edge]).tolist(), np.append(edge, len(pb)).tolist(), strict=True):
+            cuts = [(x, min(x + CLASSES, b)) for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(pb)], strict=True) for x in range(a, b, CLASSES)]
+            for a, b in cuts:
                 own = pw[a:b]
+                names, cu = np.unique(hb[pu[a:b]], return_inverse=True)
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
                 lo, hi = p0[a], (p0[b] if b < len(p0) else len(key))
-                yield int(pb[a]), _pack(head, hb[own[starts]], np.diff(np.append(starts, b - a)).astype("<u4"), pu[a:b].astype("<u2"), occ[a:b].astype("<u4"), who[lo:hi].astype("<u2"))
+                yield int(pb[a]), _press(_pack(head, hb[own[starts]], np.diff(np.append(starts, b - a)).astype("<u4"), cu.astype("<u2"), occ[a:b].astype("<u4"), who[lo:hi].astype("<u2"))), _planes(names)
 
         def gathered():
             """Batches put together up to a block's size, whatever the session's batches are."""
@@ -135,34 +184,29 @@ def _blocks(docs: DataFrame, held: Column, buckets: int) -> DataFrame:
                 j = max(i + 1, min(int(np.searchsorted(size, before + BLOCK_BYTES)), i + 60_000, len(texts)))
                 number = task << 32 | made
                 made += 1
-                parts = [(-1 - number if k < 0 else k, p) for k, p in block(ids.slice(i, j - i), texts.slice(i, j - i), out[i:j])]
+                parts = [(-1 - number if k < 0 else keys[k], p, u) for k, p, u in block(ids.slice(i, j - i), texts.slice(i, j - i), out[i:j])]
                 for a in range(0, len(parts), 64):
                     some = parts[a : a + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array([p for _, p in some], pa.binary())], names=["bucket", "block", "part"])
+                    ks, ps, us = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array(ps, pa.binary()), pa.array(us, pa.binary())], names=["bucket", "block", "part", "contexts"])
                 i = j
+        give_back()
 
-    return docs.select("doc_id", "text", held.alias("held")).mapInArrow(run, "bucket long, block long, part binary")
+    return docs.select("doc_id", "text", held.alias("held")).mapInArrow(run, "bucket long, block long, part binary, contexts binary")
 
 
-def _whole(batches):
-    """Buckets in turn, with their blocks and the blocks' parts; rows come in the order of buckets."""
-    at, blocks, parts = None, [], []
-    for b in batches:
-        for bucket, block, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            if bucket != at:
-                if parts:
-                    yield at, blocks, parts
-                at, blocks, parts = bucket, [], []
-            blocks.append(block)
-            parts.append(part.as_py())
-    if parts:
-        yield at, blocks, parts
+def _keys(spark, buckets: int) -> list[int]:
+    """A number for each bucket, each in a partition of its own when they are dealt by hash."""
+    got = spark.range(24 * buckets, numPartitions=1).groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("place")).agg(F.min("id").alias("id")).collect()
+    at = {r["place"]: r["id"] for r in got}
+    return [at.get(b, 24 * buckets + b) for b in range(buckets)]
 
 
 class Bucket:
     """All that blocks hold of a bucket's words: cells, customers, and who they are."""
 
-    def __init__(self, bucket: int, parts: list[bytes]):
+    def __init__(self, bucket: int, parts: list[bytes], contexts: list[bytes] | None = None):
+        """Contexts of parts are numbers into their part's names, which are `contexts`; without these, the same in all parts."""
         import numpy as np
 
         self.np = np
@@ -171,9 +215,15 @@ class Bucket:
         sizes = [len(g[3]) for g in got]
         self.w, wi = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
         per = np.concatenate([g[2] for g in got]).astype(np.int64)
-        key = (np.repeat(wi.astype(np.int64), per) << 16) | np.concatenate([g[3] for g in got]).astype(np.int64)
+        cu = [g[3].astype(np.int64) for g in got]
+        if contexts is not None:
+            names = [_numbers(x, "<u8") for x in contexts]
+            self.u, ui = np.unique(np.concatenate(names), return_inverse=True)
+            first = np.cumsum([0, *map(len, names)])
+            cu = [ui[a + x] for a, x in zip(first.tolist(), cu, strict=False)]
+        key = (np.repeat(wi.astype(np.int64), per) << 32) | np.concatenate(cu)
         cells, self.pair = np.unique(key, return_inverse=True)
-        self.cw, self.cu = cells >> 16, cells & 0xFFFF
+        self.cw, self.cu = cells >> 32, cells & 0xFFFFFFFF
         self.at = np.concatenate([[0], np.cumsum(sizes)])
         self.occ, self.docs = [g[4].astype(np.int64) for g in got], [g[5] for g in got]
         c = np.zeros(len(cells))
@@ -187,32 +237,38 @@ class Bucket:
     def seat(self, c, weight, grow, d):
         """Tables for c customers of each cell that come one after the other, with the log weight of the draw.
 
-        From SINGLY customers on they come in blocks of a thirty-second of those that sit, so a frequent cell takes few steps.
-
         A customer opens a table with weight `weight + grow * tables` (what the base gives), else joins one of those there.
+        How many join until the next opens one is a Polya urn's waiting time, a geometric number whose chance is beta distributed;
+        from SINGLY customers on it is drawn as such, so a frequent cell takes a step for each table.
         """
         np = self.np
         order = np.argsort(-c, kind="stable")
         cs, a, g = c[order], weight[order], grow[order]
         t, logw = (cs > 0).astype(np.float64), np.zeros(len(cs))
         up = -cs
-        i, many = 1, 1
-        while True:
+        for i in range(1, SINGLY):
             n = int(np.searchsorted(up, -i, side="left"))  # cells of more than i customers
             if not n:
                 break
-            if i >= SINGLY:
-                many = np.minimum(i // 32, cs[:n] - i)
             new = a[:n] + g[:n] * t[:n]
-            z = new + i + (many - 1) / 2 - d * t[:n]
-            if i < SINGLY:
-                t[:n] += self.rng.random(n) * z < new
-                logw[:n] += np.log(z)
-                i += 1
-            else:
-                t[:n] += self.rng.binomial(many, np.minimum(new / z, 1.0))
-                logw[:n] += many * np.log(z)
-                i += i // 32
+            z = new + i - d * t[:n]
+            t[:n] += self.rng.random(n) * z < new
+            logw[:n] += np.log(z)
+        at = np.arange(int(np.searchsorted(up, -SINGLY, side="left")))
+        seated = np.full(len(at), float(SINGLY))
+        while len(at):
+            new, old = a[at] + g[at] * t[at], seated - d * t[at]
+            p = self.rng.beta(new, old)
+            with np.errstate(divide="ignore"):
+                join = np.floor(np.log1p(-self.rng.random(len(at))) / np.log1p(-np.maximum(p, 1e-300)))
+            left = cs[at] - seated
+            opens = join < left
+            come = np.where(opens, join + 1, left)
+            logw[at] += _log_gamma(new + old + come) - _log_gamma(new + old)
+            t[at] += opens
+            seated = seated + come
+            more = seated < cs[at]
+            at, seated = at[more], seated[more]
         out, w = np.empty(len(c)), np.empty(len(c))
         out[order], w[order] = t, logw
         return out, w
@@ -272,72 +328,99 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-int(volume) // BUCKET_BYTES))
-    sent = _blocks(rows, F.col("held"), buckets)
-    # a bucket to a part, and a part to one row group of one file: whoever reads it has all of the bucket, in order
-    place = F.pmod(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-F.col("bucket")), F.lit(buckets)).cast("int")
-    store = cut(sent.repartitionById(buckets, place).sortWithinPartitions("bucket", "block"), "buckets", "zstd", **{"parquet.block.size": 1 << 30})
-    held_in = store.where("bucket >= 0")
-
-    def spread(states: list):
-        """A pass over the buckets that sums up (class, customers, tables) after these sweeps, and numbers of its own below class 0."""
-        shared = docs.sparkSession.sparkContext.broadcast(states)  # a fixed size
+    registers = -(-buckets // SHARE)
+    spark = docs.sparkSession
+    sent = _blocks(rows, F.col("held"), _keys(spark, buckets))
+    # bucketed, so a bucket meets its contexts' totals without being shuffled again
+    store = bucketed(sent, "bucket", buckets, "buckets")
+    held_in = store.where("bucket >= 0").groupBy("bucket")
+    edges = np.array([-(-(r << 64) // registers) for r in range(1, registers)], dtype=np.uint64)
+    scheme = "bucket long, register int, totals binary, sweep int"
+    replies: list[DataFrame] = []
+
+    def meet(work, schema: str) -> DataFrame:
+        """What `work` makes of a bucket and the totals of its contexts that were gathered so far: customers, and tables after each sweep."""
+        told = spark.createDataFrame([], scheme)
+        for r in replies:
+            told = told.unionByName(r.where("bucket >= 0"))
+
+        def run(left, right):
+            give_back()  # of the bucket before
+            x = Bucket(left["bucket"][0].as_py(), [_loose(p.as_py()) for p in left["part"]], [p.as_py() for p in left["contexts"]])
+            got: dict[int, dict] = {}
+            for sweep, register, data in zip(right["sweep"].to_pylist(), right["register"].to_pylist(), right["totals"], strict=True):
+                got.setdefault(sweep, {})[register] = _numbers(data.as_py(), "<i8")
+            # the first has customers and tables of each register, later ones tables
+            own = [[np.concatenate([v[r].reshape(2 if k == 0 else 1, -1)[i] for r in sorted(v)]) for i in range(2 if k == 0 else 1)] for k, v in sorted(got.items())]
+            return work(left, x, own[0][0] if own else None, [o[-1] for o in own])
+
+        return held_in.cogroup(told.groupBy("bucket")).applyInArrow(run, schema)
+
+    def spread(states: list[dict]):
+        """A pass over the buckets that sums up each context's customers (at first) and tables after these sweeps; numbers of its own."""
+
+        def send(left, x, customers, tables):
+            import pyarrow as pa
 
-        def run(batches):
+            if not states:
+                t = (x.c > 0).astype(float)
+                C = np.bincount(x.cw, weights=t, minlength=len(x.w))
+                own = [x.count.sum(), (x.count > 0).sum(), (x.c == 1).sum(), (x.c == 2).sum(), C.sum(), (C == 1).sum(), (C == 2).sum()]
+            else:
+                t, C, T = x.sample(list(zip(states, tables, strict=True)))[-1]
+                own = [C.sum(), T.sum()]
+            sums = [np.bincount(x.cu, weights=v, minlength=len(x.u)).astype("<i8") for v in ([t] if states else [x.c, t])]
+            at = [0, *np.searchsorted(x.u, edges).tolist(), len(x.u)]
+            out = [(r, _planes(x.u[a:b]), _planes(np.concatenate([v[a:b] for v in sums]))) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+            out.append((-1, b"", _planes(np.array(own).astype("<i8"))))
+            r, names, totals = zip(*out, strict=True)
+            return pa.table([pa.array(r, pa.int32()), pa.array([left["bucket"][0].as_py()] * len(r), pa.int64()), pa.array(names, pa.binary()), pa.array(totals, pa.binary())], names=["register", "bucket", "names", "totals"])
+
+        def total(t):
             import pyarrow as pa
 
-            for bucket, _, parts in _whole(batches):
-                x = Bucket(bucket, parts)
-                states = shared.value
-                if not states:
-                    t = (x.c > 0).astype(float)
-                    C = np.bincount(x.cw, weights=t, minlength=len(x.w))
-                    own = [x.count.sum(), (x.count > 0).sum(), (x.c == 1).sum(), (x.c == 2).sum(), C.sum(), (C == 1).sum(), (C == 2).sum()]
-                else:
-                    t, C, T = x.sample(states)[-1]
-                    own = [C.sum(), T.sum()]
-                c = np.bincount(x.cu, weights=x.c, minlength=CLASSES)
-                ts = np.bincount(x.cu, weights=t, minlength=CLASSES)
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(own))])), pa.array(np.concatenate([c[at], np.array(own, dtype=float)])), pa.array(np.concatenate([ts[at], np.zeros(len(own))]))], names=["class", "customers", "tables"])
-
-        t = held_in.mapInArrow(run, "class long, customers double, tables double").groupBy("class").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).toArrow()
-        cls, c, ts = (t[k].to_numpy() for k in ("class", "c", "t"))
-        customers, tables_, own = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(8)
-        up = cls >= 0
-        customers[cls[up]], tables_[cls[up]] = c[up], ts[up]
-        own[-1 - cls[~up]] = c[~up]
-        return customers, tables_, own
-
-    customers, tables, own = spread([])
-    N, V, n1, n2, C, m1, m2 = own[:7]
-    states = [({"V": float(V), "C": float(C), "T": float(V), "d": (_discount(m1, m2), _discount(n1, n2))}, tables)]
+            register, got = t["register"][0].as_py(), [_numbers(x.as_py(), "<i8") for x in t["totals"]]
+            if register < 0:
+                to, data = [-1], [_planes(np.sum(got, axis=0))]
+            else:
+                names = [_numbers(x.as_py(), "<u8") for x in t["names"]]
+                _, which = np.unique(np.concatenate(names), return_inverse=True)
+                kinds = len(got[0]) // len(names[0])
+                sums = [np.bincount(which, weights=np.concatenate([g.reshape(kinds, -1)[i] for g in got]))[which].astype("<i8") for i in range(kinds)]
+                at = np.cumsum([0, *map(len, names)]).tolist()
+                to, data = t["bucket"].to_pylist(), [_planes(np.concatenate([v[a:b] for v in sums])) for a, b in zip(at, at[1:], strict=False)]
+            return pa.table([pa.array(to, pa.int64()), pa.array([register] * len(to), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "register", "totals"])
+
+        sums = meet(send, "register int, bucket long, names binary, totals binary").groupBy("register").applyInArrow(total, "bucket long, register int, totals binary")
+        replies.append(cut(sums.withColumn("sweep", F.lit(len(replies))), "totals", "zstd"))
+        got = replies[-1].where("bucket < 0").first()
+        return _numbers(bytes(got["totals"]), "<i8").tolist() if got else [0] * 7
+
+    N, V, n1, n2, C, m1, m2 = spread([])
+    states = [{"V": float(V), "C": float(C), "T": float(V), "d": (_discount(m1, m2), _discount(n1, n2))}]
     for _ in range(SWEEPS if N else 0):
-        _, tables, own = spread(states)
-        states.append((states[0][0] | {"C": float(own[0]), "T": float(own[1])}, tables))
-    shared = docs.sparkSession.sparkContext.broadcast((states, customers, float(N), float(V)))
+        C, T = spread(list(states))
+        states.append(states[0] | {"C": float(C), "T": float(T)})
 
-    def answer(batches):
+    def answer(left, x, customers, tables):
         import pyarrow as pa
 
-        states, customers, N, V = shared.value
-        for bucket, blocks, parts in _whole(batches):
-            x = Bucket(bucket, parts)
-            p = x.predict(states, customers, BURN) if N else np.ones(len(x.c))
-            logp, known = np.log10(p), (x.count > 0)[x.cw]
-            base = np.log10(x.count + 0.1)[x.cw]
-            for k, block in enumerate(blocks):
-                cell = x.pair[x.at[k] : x.at[k + 1]]
-                who, n = x.docs[k], int(x.heads[k][0])
-                full = np.repeat(cell, x.occ[k])
-                sums = [np.bincount(who, weights=v[full], minlength=n) for v in (base, logp, known.astype(float))]
-                touched = np.flatnonzero(np.bincount(who, minlength=n)).astype("<u2")
-                data = _pack(touched, *(s[touched].astype(kind) for s, kind in zip(sums, ("<f8", "<f8", "<u4"), strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([False]), pa.array([data], pa.binary())], names=["block", "names", "part"])
+        p = x.predict(list(zip(states, tables, strict=True)), customers, BURN) if N else np.ones(len(x.c))
+        logp, known = np.log10(p), (x.count > 0)[x.cw]
+        base = np.log10(x.count + 0.1)[x.cw]
+        data = []
+        for k in range(len(x.docs)):
+            cell = x.pair[x.at[k] : x.at[k + 1]]
+            who, n = x.docs[k], int(x.heads[k][0])
+            full = np.repeat(cell, x.occ[k])
+            sums = [np.bincount(who, weights=v[full], minlength=n) for v in (base, logp, known.astype(float))]
+            touched = np.flatnonzero(np.bincount(who, minlength=n)).astype("<u2")
+            data.append(_pack(touched, *(s[touched].astype(kind) for s, kind in zip(sums, ("<f8", "<f8", "<u4"), strict=True))))
+        return pa.table([left["block"].combine_chunks(), pa.array([False] * len(data)), pa.array(data, pa.binary())], names=["block", "names", "part"])
 
     def gather(t):
         import pyarrow as pa
 
-        *_, N, V = shared.value
         who = next(p for n, p in zip(t["names"].to_pylist(), t["part"].to_pylist(), strict=True) if n)
         ids, gone, out, tokens = _unpack(who, "<i8", "<i1", "<i1", "<i8")
         sums = np.zeros((3, len(ids)))
@@ -349,7 +432,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
         base = sums[0] - tokens * np.log10(N + 0.1 * (V + 1))
         return pa.table([pa.array(ids, mask=gone > 0), pa.array(out > 0), pa.array(tokens), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(ids), int(N))), pa.array(base), pa.array(sums[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = held_in.mapInArrow(answer, "block long, names boolean, part binary")
+    answers = meet(answer, "block long, names boolean, part binary")
     names = store.where("bucket < 0").select("block", F.lit(True).alias("names"), "part")
     return answers.unionByName(names).groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

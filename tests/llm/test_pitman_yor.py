@@ -131,3 +131,31 @@ def test_averaged_probabilities_against_enumeration():
             states.append((states[0][0] | {"C": float(C.sum()), "T": float(T.sum())}, np.bincount(b.cu, weights=t, minlength=P.CLASSES)))
         got += b.predict(states, customers, 2) / runs
     assert np.abs(got - want).max() < 0.01, (got, want)
+
+
+def test_contexts_are_words_themselves(spark, tmp_path):
+    """Two words whose hashes begin alike, each always before a word of its own."""
+    from xxhash import xxh64_intdigest
+
+    seen = {}
+    a, b = next((seen[x], w) for w in (f"w{i}" for i in range(100_000)) if seen.setdefault(x := xxh64_intdigest(w) >> 48, w) != w)
+    rows = [(i, f"{a} x" if i % 2 else f"{b} y", "en", "s", "c") for i in range(400)]
+    got = registry.queries["op5_pitman_yor_scoring"](spark, H.save(spark, tmp_path, rows)).collect()
+    assert len(got) == 400
+    assert all(abs(r["score"] - math.log10(0.5)) < 0.1 for r in got)  # only the first word is open
+
+
+def test_frequent_cells_are_seated_customer_by_customer():
+    """Tables and weights of 300 customers against a loop over customers."""
+    b = P.Bucket.__new__(P.Bucket)
+    b.np, b.rng = np, np.random.default_rng(5)
+    r, n, c, d = np.random.default_rng(6), 40_000, 300, 0.3
+    for a, g in ((2.0, 0.9), (0.02, 0.001)):
+        t, logw = b.seat(np.full(n, c), np.full(n, a), np.full(n, g), d)
+        t1, w1 = np.ones(n), np.zeros(n)
+        for i in range(1, c):
+            z = a + g * t1 + i - d * t1
+            t1 += r.random(n) * z < a + g * t1
+            w1 += np.log(z)
+        for x, y in ((t, t1), (logw, w1), (t * t, t1 * t1), (t * logw, t1 * w1)):
+            assert abs(x.mean() - y.mean()) < 5 * np.sqrt((x.var() + y.var()) / n) + 1e-7, (a, g, x.mean(), y.mean())
