@@ -5,7 +5,9 @@ A node is a distinct set of shingles, so exact copies cost nothing. Two nodes ar
 `simhash` returns what lies within `RADIUS` bits, and exact sets verify it. A similarity of 0.8 can be 17 bits and more, beyond
 any pigeonhole of 64 bits, so what fingerprints can't reach is found by prefixes: shingles have one order, rare ones first, and
 alike sets share a shingle among the first n - ceil(similarity * n) + 1 of each. Only nodes that no verified link connects yet
-meet there, first with one hub of each shingle, then each with each. Two nodes that share several shingles in a row of their
+meet there: first with one hub of each shingle, then with some 8 and some 64 of its nodes, then each with each, and after each
+step what is connected needs no more pairs. So a family of texts about as alike as a link needs, each with links to a tenth of the
+others, costs each node some pairs and not one with every other; only nodes without a link meet all others of their shingles. Two nodes that share several shingles in a row of their
 prefixes meet at the first of them, and only where as many shingles can follow as a link needs: the first shingle that an alike
 pair shares always passes both. No link is lost, whatever the order or the fingerprints.
 Sizes and parity bits (one for each shingle at least), which bound the similarity from above, leave out pairs that can't be
@@ -33,8 +35,8 @@ RADIUS = 4
 SAMPLE, OFTEN, MOST_FREQUENT = 10_000, 4, 100_000
 #: Nodes of a shingle from which it goes to the end of the order, and how many shingles do at most (16 bytes each).
 HOT, MOST_LOUD = 40, 500_000
-#: Rounds of pairs with one hub of each shingle, before each node with each.
-ROUNDS = 1
+#: Rounds of pairs with one hub of each shingle, and how many of a shingle's nodes (about) others meet then, before each node meets each.
+ROUNDS, SOME = 1, (8, 64)
 #: Rows up to which keys (some 24 bytes each) are broadcast.
 SMALL = 500_000
 SLICE = 1 << 20
@@ -275,8 +277,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
         """Nodes of shingles that several components have, and these shingles with how many and a hub."""
         at = rooted(shared)
         hub = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "root", "n")).alias("hub")
-        each = at.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub)
-        return at, cut(each.where("lo <> hi").select("shingle", "hub"), "mixed")
+        each = at.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub, F.count("*").alias("nodes"))
+        return at, cut(each.where("lo <> hi").select("shingle", "hub", "nodes"), "mixed")
 
     many = counted(known)
     loud = [(r["shingle"], r["nodes"]) for r in many.where(F.col("nodes") > hot).orderBy(F.desc("nodes")).limit(MOST_LOUD).collect()]
@@ -297,12 +299,19 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     step = ROUNDS
     at, several = mixed(shared)
     before = F.lag("shingle").over(Window.partitionBy("node").orderBy("pos"))
-    at = cut(at.join(several.select("shingle"), "shingle").join(known.select("node", "coarse"), "node").withColumn("before", before), "left")
-    a, b = (at.select("shingle", F.col("node").alias(k), F.col("root").alias(f"r{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "before", "coarse"))) for k in "ab")
+    # some k nodes of a shingle have a place below k, the same nodes for shingles of the same nodes
+    place_ = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) / (1 << 30) * F.col("nodes")
+    left = cut(at.drop("root").join(several.select("shingle", "nodes"), "shingle").join(known.select("node", "coarse"), "node").withColumns({"before": before, "place": place_}).drop("nodes"), "left")
     start = F.coalesce(F.col("beforea") != F.col("beforeb"), F.lit(True))  # else they meet at the shingle before, too
     enough = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
-    cross = (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & size & start & enough & (roughly <= most)
-    connect(plausible(a.join(b, cross).select("a", "b").distinct()))
+    for low, high in zip((0, *SOME), (*SOME, None), strict=True):  # each pair meets at the step of its lesser place
+        at = rooted(left.where(F.col("place") >= low))
+        a, b = (at.select("shingle", F.col("node").alias(k), F.col("root").alias(f"r{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("n", "pos", "before", "coarse", "place"))) for k in "ab")
+        once = F.col("a") < F.col("b")
+        if high is not None:
+            a, once = a.where(F.col("placea") < high), once | (F.col("placeb") >= high)
+        cross = (a["shingle"] == b["shingle"]) & once & (F.col("ra") != F.col("rb")) & size & start & enough & (roughly <= most)
+        connect(plausible(a.join(b, cross).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
 
     placed = rooted(known.select("node", "m"))
     stay = placed.groupBy("root").agg(F.min("m").alias("stays"))

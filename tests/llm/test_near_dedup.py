@@ -88,3 +88,23 @@ def test_passages_shared_by_unlike_texts_and_cut_copies(spark, tmp_path):
     assert sum(0.8 <= x < 0.84 for x in alike) >= 3 and sum(x < 0.8 for x in alike) >= 5
     assert sum(1 for i in range(0, 100, 2) for j in range(i) if s[i] & s[j]) > 500
     assert left(spark, tmp_path, texts) == left(spark, tmp_path, texts, hot=1) == sorted(stays(texts))
+
+
+def test_family_about_as_alike_as_a_link_needs(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(other(r, base, r.choice((1,) + (2,) * 9), f"v{i}")) for i in range(260)]
+    s = [shingles(t) for t in texts]
+    alike = sum(len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) for i in range(260) for j in range(i))
+    assert alike > 1000
+    verified, cut = [], near_copies.cut
+
+    def counted(df, name="t", *args, **how):
+        got = cut(df, name, *args, **how)
+        if name == "pairs":
+            verified.append(got.count())
+        return got
+
+    monkeypatch.setattr(near_copies, "cut", counted)
+    assert left(spark, tmp_path, texts) == sorted(stays(texts))
+    assert sum(verified) < 20 * len(texts)  # each with each: 33,670
