@@ -12,7 +12,8 @@ Blocks of texts send each bucket of words what they hold of it: pairs of context
 occurrence. A bucket is stored once with all blocks' parts, in a bucketed table, so later passes don't shuffle it; it knows all
 of its words. Every context has its own totals: buckets send what they hold of each to the register that has the context, and
 get back the sums of the contexts that occur in them. Buckets answer with sums for each document of a block. No vocabulary,
-of words or contexts, is ever held in one place.
+of words or contexts, is ever held in one place. Frequent words, of a sample, have numbers of 16 bits by which parts name their
+contexts; all others are named by their hashes. That is a way of writing only: which words have numbers changes no result.
 
 Nulls: a null text is an end alone; null ids count as the empty text for the fold. Repeated rows each count. Without training
 tokens every word is unknown and has probability 1; without rows the result is empty. Words are told apart by 64-bit hashes. Texts
@@ -29,7 +30,9 @@ from loomwork.llm.common import bucketed, cut, give_back
 #: Pairs of a part at most, so its contexts have numbers of 16 bits; a block's share of more is in several parts.
 CLASSES = 1 << 16
 #: Text of a block, and of all blocks' shares in a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Words that have numbers, and text of the sample that tells which.
+NUMBERED, SAMPLE_BYTES = 1 << 16, 32 << 20
 SWEEPS, BURN = 3, 1
 STRENGTH = (1.0, 1.0)  # of the shared restaurant and of contexts
 SEED = 11
@@ -69,6 +72,49 @@ def _numbers(data: bytes, kind: str):
     return np.ascontiguousarray(np.frombuffer(data, dtype="u1").reshape(8, -1).T).view(kind).ravel()
 
 
+def _write_names(names, numbered) -> tuple[bytes, "np.ndarray"]:
+    """Sorted names in few bytes, given the sorted names that have numbers; and the place that each gets, as these come first."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = np.searchsorted(numbered, names)
+    has = numbered[np.minimum(at, len(numbered) - 1)] == names if len(numbered) else np.zeros(len(names), dtype=bool)
+    place = np.where(has, np.cumsum(has) - 1, has.sum() + np.cumsum(~has) - 1)
+    gaps = np.diff(at[has], prepend=0).astype("<u2")
+    raw = gaps.view("u1").reshape(-1, 2).T.tobytes() + _planes(names[~has])
+    return _pack(np.array([len(gaps), len(raw)], dtype="<i8")) + pa.compress(raw, codec="zstd", asbytes=True), place
+
+
+def _read_names(data: bytes, numbered):
+    import numpy as np
+    import pyarrow as pa
+
+    (n, size), at = _unpack(data[:24], "<i8")[0].tolist(), 24
+    raw = np.frombuffer(pa.decompress(data[at:], size, codec="zstd"), dtype="u1")
+    gaps = np.ascontiguousarray(raw[: 2 * n].reshape(2, n).T).view("<u2").ravel()
+    return np.concatenate([numbered[np.cumsum(gaps, dtype=np.int64)], _numbers(raw[2 * n :], "<u8")])
+
+
+def _numbered(rows: DataFrame, volume: int):
+    """The hashes, sorted, of words that a sample of texts has most often."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            got = pc.value_counts(pc.ascii_split_whitespace(pc.ascii_lower(b.column(0).fill_null(""))).flatten())
+            h = np.array([xxh64_intdigest(x) for x in got.field(0).cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), got.field(1).cast(pa.int64())], names=["h", "k"])
+        give_back()
+
+    part = rows.select("text") if volume <= SAMPLE_BYTES else rows.select("text").sample(SAMPLE_BYTES / volume, seed=SEED)
+    often = part.mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "h").limit(NUMBERED)
+    return np.sort(np.array([r["h"] for r in often.collect()], dtype=np.int64).view(np.uint64))
+
+
 def _log_gamma(x):
     """Stirling's series, for x above 3."""
     import numpy as np
@@ -103,8 +149,8 @@ def _loose(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _blocks(docs: DataFrame, held: Column, keys: list[int]) -> DataFrame:
-    """bucket, block, part, the names of the part's contexts; and under bucket -1 - block the block's documents."""
+def _blocks(docs: DataFrame, held: Column, keys: list[int], numbered) -> DataFrame:
+    """bucket, block, part, the names of the part's contexts (as written with `numbered`, a broadcast); and under bucket -1 - block the block's documents."""
 
     def run(batches):
         import numpy as np
@@ -158,19 +204,21 @@ def _blocks(docs: DataFrame, held: Column, keys: list[int]) -> DataFrame:
             for a, b in cuts:
                 own = pw[a:b]
                 names, cu = np.unique(hb[pu[a:b]], return_inverse=True)
+                written, place = _write_names(names, numbered.value)
+                cu = place[cu]
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
                 lo, hi = p0[a], (p0[b] if b < len(p0) else len(key))
-                yield int(pb[a]), _press(_pack(head, hb[own[starts]], np.diff(np.append(starts, b - a)).astype("<u4"), cu.astype("<u2"), occ[a:b].astype("<u4"), who[lo:hi].astype("<u2"))), _planes(names)
+                yield int(pb[a]), _press(_pack(head, hb[own[starts]], np.diff(np.append(starts, b - a)).astype("<u4"), cu.astype("<u2"), occ[a:b].astype("<u4"), who[lo:hi].astype("<u2"))), written
 
         def gathered():
-            """Batches put together up to a block's size, whatever the session's batches are."""
+            """Batches put together up to a block's size, whatever the session's batches are; none leaves a small rest."""
             kept, size, rows = [], 0, 0
             for b in batches:
-                kept.append(b)
-                size, rows = size + b.column(1).nbytes, rows + b.num_rows
-                if size >= BLOCK_BYTES or rows >= 60_000:
+                if kept and (size + b.column(1).nbytes > BLOCK_BYTES or rows + b.num_rows > 60_000):
                     yield pa.concat_batches(kept)
                     kept, size, rows = [], 0, 0
+                kept.append(b)
+                size, rows = size + b.column(1).nbytes, rows + b.num_rows
             if kept:
                 yield pa.concat_batches(kept)
 
@@ -205,8 +253,8 @@ def _keys(spark, buckets: int) -> list[int]:
 class Bucket:
     """All that blocks hold of a bucket's words: cells, customers, and who they are."""
 
-    def __init__(self, bucket: int, parts: list[bytes], contexts: list[bytes] | None = None):
-        """Contexts of parts are numbers into their part's names, which are `contexts`; without these, the same in all parts."""
+    def __init__(self, bucket: int, parts: list[bytes], contexts: list | None = None):
+        """Contexts of parts are numbers into their part's names, which are `contexts` (arrays); without these, the same in all parts."""
         import numpy as np
 
         self.np = np
@@ -217,9 +265,8 @@ class Bucket:
         per = np.concatenate([g[2] for g in got]).astype(np.int64)
         cu = [g[3].astype(np.int64) for g in got]
         if contexts is not None:
-            names = [_numbers(x, "<u8") for x in contexts]
-            self.u, ui = np.unique(np.concatenate(names), return_inverse=True)
-            first = np.cumsum([0, *map(len, names)])
+            self.u, ui = np.unique(np.concatenate(contexts), return_inverse=True)
+            first = np.cumsum([0, *map(len, contexts)])
             cu = [ui[a + x] for a, x in zip(first.tolist(), cu, strict=False)]
         key = (np.repeat(wi.astype(np.int64), per) << 32) | np.concatenate(cu)
         cells, self.pair = np.unique(key, return_inverse=True)
@@ -330,7 +377,8 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     buckets = max(4, -(-int(volume) // BUCKET_BYTES))
     registers = -(-buckets // SHARE)
     spark = docs.sparkSession
-    sent = _blocks(rows, F.col("held"), _keys(spark, buckets))
+    numbered = spark.sparkContext.broadcast(_numbered(rows, int(volume)))
+    sent = _blocks(rows, F.col("held"), _keys(spark, buckets), numbered)
     # bucketed, so a bucket meets its contexts' totals without being shuffled again
     store = bucketed(sent, "bucket", buckets, "buckets")
     held_in = store.where("bucket >= 0").groupBy("bucket")
@@ -346,7 +394,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
 
         def run(left, right):
             give_back()  # of the bucket before
-            x = Bucket(left["bucket"][0].as_py(), [_loose(p.as_py()) for p in left["part"]], [p.as_py() for p in left["contexts"]])
+            x = Bucket(left["bucket"][0].as_py(), [_loose(p.as_py()) for p in left["part"]], [_read_names(p.as_py(), numbered.value) for p in left["contexts"]])
             got: dict[int, dict] = {}
             for sweep, register, data in zip(right["sweep"].to_pylist(), right["register"].to_pylist(), right["totals"], strict=True):
                 got.setdefault(sweep, {})[register] = _numbers(data.as_py(), "<i8")

@@ -159,3 +159,31 @@ def test_frequent_cells_are_seated_customer_by_customer():
             w1 += np.log(z)
         for x, y in ((t, t1), (logw, w1), (t * t, t1 * t1), (t * logw, t1 * w1)):
             assert abs(x.mean() - y.mean()) < 5 * np.sqrt((x.var() + y.var()) / n) + 1e-7, (a, g, x.mean(), y.mean())
+
+
+def test_names_are_read_as_written():
+    """Names with and without numbers; those with numbers take a fraction of their hashes' bytes."""
+    r = np.random.default_rng(1)
+    numbered = np.unique(r.integers(0, 2**64, P.NUMBERED, dtype=np.uint64))
+    others = r.integers(0, 2**64, 1000, dtype=np.uint64)
+    ends = numbered[[0, -1]]
+    for names, table in ((np.concatenate([r.choice(numbered, 9000), others, ends]), numbered), (others, numbered), (others, numbered[:0]), (ends, numbered), (others[:0], numbered)):
+        names = np.unique(names)
+        data, place = P._write_names(names, table)
+        assert (P._read_names(data, table)[place] == names).all() and sorted(place.tolist()) == list(range(len(names)))
+    few = np.unique(r.choice(numbered, 9000))
+    assert len(P._write_names(few, numbered)[0]) < 2 * len(few)
+
+
+def test_blocks_leave_no_small_rests(spark, monkeypatch):
+    """Batches that don't fill blocks to the byte: as many blocks as their text needs, of one task, and scores as of one block."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(i, f"{text} own{i}") for i in range(4000)], "doc_id long, text string").coalesce(1)
+    rows = docs.withColumn("held", F.lit(False))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(P, "BLOCK_BYTES", size // 3)
+    numbered = spark.sparkContext.broadcast(np.zeros(0, dtype=np.uint64))
+    got = P._blocks(rows, F.col("held"), P._keys(spark, 4), numbered).where("bucket < 0").count()
+    assert got <= 4  # with small rests: twice as many nearly
