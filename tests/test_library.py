@@ -287,6 +287,29 @@ def test_features_models_search(spark):
     assert value > -0.5 and abs(best["x"] - 1) < 1
 
 
+def _pairs_by_task(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_null_keys_of_an_outer_join_meet_in_many_tasks(spark):
+    a = spark.range(400, numPartitions=1).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("v"))
+    b = spark.range(50, numPartitions=1).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("w"))
+    n = _pairs_by_task(R.join(a, b, "k", "outer", null_safe=True))
+    assert sum(n) == 20_000 and max(n) < 4_000
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer", "semi", "anti"])
+def test_null_safe_join_of_several_keys(spark, how):
+    rows = [(None, None), (None, 1), (1, None), (1, 1), (None, None), (None, 2)]
+    a = spark.createDataFrame([(x, y, i) for i, (x, y) in enumerate([*rows, (7, 7)])], "x int, y int, v int")
+    for theirs in (rows + [(8, 8)], [(1, None), (9, None)], []):
+        b = spark.createDataFrame([(x, y, i) for i, (x, y) in enumerate(theirs)], "x int, y int, w int")
+        a.createOrReplaceTempView("null_a"), b.createOrReplaceTempView("null_b")
+        cols = {"semi": "a.*", "anti": "a.*", "inner": "a.*, w", "left": "a.*, w"}.get(how, "coalesce(a.x, b.x), coalesce(a.y, b.y), v, w")
+        want = spark.sql(f"SELECT {cols} FROM null_a a {'full' if how == 'outer' else how} JOIN null_b b ON a.x <=> b.x AND a.y <=> b.y")
+        assert sorted(map(str, map(tuple, R.join(a, b, ["x", "y"], how, null_safe=True).collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
 def test_joins_and_scalars(spark):
     a = spark.createDataFrame([(1, "l"), (None, "l")], "k int, v string")
     b = spark.createDataFrame([(1, "r"), (None, "r")], "k int, v string")
