@@ -310,6 +310,33 @@ def test_null_safe_join_of_several_keys(spark, how):
         assert sorted(map(str, map(tuple, R.join(a, b, ["x", "y"], how, null_safe=True).collect()))) == sorted(map(str, map(tuple, want.collect())))
 
 
+def test_skip(spark):
+    rows = [(x, y) for x in (None, 2.0, float("nan"), -1.0, 2.0) for y in (None, 3, 3, 1)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    for n in (0, 1, 5, 9, 19, 20, 99):
+        assert list(map(str, R.skip(df, n, "x", "y").collect())) == list(map(str, df.orderBy("x", "y").collect()))[n:]
+    assert R.skip(df.where("y > 5"), 3, "x").count() == 0
+    many = spark.range(100_000, numPartitions=8)
+    got = R.skip(many, 1000, "id")
+    assert [got.count(), got.first()["id"]] == [99_000, 1000]
+
+
+def test_skip_sorts_in_parts(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge so few rows
+    try:
+        parts = R.skip(spark.range(100_000, numPartitions=8), 1000, "id").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 60_000
+
+
+def test_query_with_an_offset_sends_no_rows_through_one_task(spark):
+    from loomwork.plans.catalogue import registry
+
+    plan = registry.queries["offset_without_limit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" not in plan and "GlobalLimit" not in plan
+
+
 def test_joins_and_scalars(spark):
     a = spark.createDataFrame([(1, "l"), (None, "l")], "k int, v string")
     b = spark.createDataFrame([(1, "r"), (None, "r")], "k int, v string")
