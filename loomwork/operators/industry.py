@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.relational import tasks
+
 
 def fraud_scores(df: DataFrame, user: str, order: list[str], amount: str, location: str, risky: Column, sensitivity: float = 0.7) -> DataFrame:
     """In each user's order: 0.3 above three times the mean so far, 0.2 for a new location, 0.1 with a history, 0.4 for a risky merchant."""
@@ -54,12 +56,21 @@ def item_similarity(df: DataFrame, user: str, item: str) -> DataFrame:
     return co.join(na, "a").join(nb, "b").select("a", "b", "co", (F.col("co") / (F.col("na") + F.col("nb") - F.col("co"))).alias("similarity"))
 
 
-def recommend(df: DataFrame, user: str, item: str, n: int = 5) -> DataFrame:
-    own = df.select(user, item).distinct()
-    s = item_similarity(df, user, item)
-    both = s.select("a", "b", "similarity").unionByName(s.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    got = own.join(both.withColumnRenamed("a", item), item).groupBy(user, "b").agg(F.sum("similarity").alias("score")).withColumnRenamed("b", item)
-    new = got.join(own, [user, item], "left_anti")
+def recommend(df: DataFrame, user: str, item: str, n: int = 5, few: bool = False) -> DataFrame:
+    """The n items not yet had whose similarities to the user's own sum up highest, ties to the smaller item.
+
+    Rows are dealt by user once. With `few` (the caller knows that there are some thousand items at most) the similarities go to all
+    tasks, and sums and ranks need no further shuffle; otherwise each item of each user is shuffled to its similar ones.
+    """
+    rows = df.select(user, item)
+    if few:
+        rows = rows.repartition(tasks(rows), user)
+    s = item_similarity(rows, user, item).select("a", "b", "similarity")
+    # an item is next to itself with no similarity, which tells apart what a user has
+    pairs = s.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), (F.col("similarity") if x != y else F.lit(None)).alias("similarity")) for x, y in ("ab", "ba", "aa", "bb")])).alias("p")).select("p.*").distinct()
+    pairs = pairs.withColumnRenamed("a", item)
+    sums = rows.distinct().join(F.broadcast(pairs) if few else pairs, item).groupBy(user, "b").agg(F.sum("similarity").alias("score"), F.count_if(F.col("similarity").isNull()).alias("_had")).withColumnRenamed("b", item)
+    new = sums.where(F.col("score").isNotNull() & ((F.col("_had") == 0) | F.col(user).isNull())).drop("_had")
     w = Window.partitionBy(user).orderBy(F.desc(F.round("score", 9)), item)
     return new.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

@@ -337,6 +337,30 @@ def test_query_with_an_offset_sends_no_rows_through_one_task(spark):
     assert "CollectLimit" not in plan and "GlobalLimit" not in plan
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_recommendations(spark, few):
+    from loomwork.operators import industry
+
+    had = {1: "abc", 2: "abd", 3: "bd", 4: "cde", 5: "z", 6: "abcdez"}
+    df = spark.createDataFrame([(u, i) for u, s in had.items() for i in s] + [(1, "a"), (3, None)], "u int, i string")
+    who = {i: {u for u, s in had.items() if i in s} for i in "abcdez"}
+    sim = lambda a, b: len(who[a] & who[b]) / len(who[a] | who[b])
+    want = set()
+    for u, s in had.items():
+        score = {b: sum(sim(a, b) for a in s) for b in who if b not in s and any(who[a] & who[b] for a in s)}
+        want |= {(u, i, r, round(score[i], 6)) for r, i in enumerate(sorted(score, key=lambda i: (-round(score[i], 9), i))[:2], 1)}
+    got = industry.recommend(df, "u", "i", 2, few=few).collect()
+    assert {(r["u"], r["i"], r["rank"], round(r["score"], 6)) for r in got} == want and len(got) == len(want)
+
+
+def test_query_of_recommendations_shuffles_baskets_only(spark):
+    from loomwork.plans.catalogue import registry
+
+    plan = registry.queries["recommend_items"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("BroadcastHashJoin")]  # sums and ranks of each user's candidates
+    assert "Window" in above and "Exchange" not in above and "SortMergeJoin" not in above
+
+
 def test_joins_and_scalars(spark):
     a = spark.createDataFrame([(1, "l"), (None, "l")], "k int, v string")
     b = spark.createDataFrame([(1, "r"), (None, "r")], "k int, v string")
