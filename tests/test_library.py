@@ -298,6 +298,19 @@ def test_null_keys_of_an_outer_join_meet_in_many_tasks(spark):
     assert sum(n) == 20_000 and max(n) < 4_000
 
 
+def test_null_keys_of_an_inner_join_meet_in_many_tasks_even_without_broadcasts(spark):
+    a = spark.range(401, numPartitions=1).select(F.when(F.col("id") < 400, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    b = spark.range(351, 402, numPartitions=1).select(F.when(F.col("id") != 400, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("w"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (was, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            n = _pairs_by_task(R.join(a, b, "k", "inner", null_safe=True))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        assert sum(n) == 20_001 and max(n) < 4_000
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "right", "outer", "semi", "anti"])
 def test_null_safe_join_of_several_keys(spark, how):
     rows = [(None, None), (None, 1), (1, None), (1, 1), (None, None), (None, 2)]
